@@ -166,17 +166,20 @@ def dense_top_k(queries: DataFrame, candidates: DataFrame, k: int = 10,
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    q_side = queries.select("query_table", "vec", block("query_table", q_blocks).alias("qb")) \
-        .withColumn("cb", every(c_blocks))
-    c_side = candidates.select("cand_table", "vec", block("cand_table", c_blocks).alias("cb")) \
-        .withColumn("qb", every(q_blocks))
+    # fresh names: both sides may come from the same frame
+    q_side = queries.select(
+        F.col("query_table").alias("q_name"), F.col("vec").alias("q_vec"),
+        block("query_table", q_blocks).alias("qb"), every(c_blocks).alias("cb"))
+    c_side = candidates.select(
+        F.col("cand_table").alias("c_name"), F.col("vec").alias("c_vec"),
+        block("cand_table", c_blocks).alias("cb"), every(q_blocks).alias("qb"))
 
     def best_of_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"query_table": [], "cand_table": [], "score": []})
-        c = c.sort_values("cand_table", ignore_index=True)
-        scores = np.round(_unit_rows(q["vec"]) @ _unit_rows(c["vec"]).T, DIGITS) + 0.0
-        q_names, c_names = q["query_table"].to_numpy(), c["cand_table"].to_numpy()
+            return pd.DataFrame(columns=["query_table", "cand_table", "score"])
+        c = c.sort_values("c_name", ignore_index=True)
+        scores = np.round(_unit_rows(q["q_vec"]) @ _unit_rows(c["c_vec"]).T, DIGITS) + 0.0
+        q_names, c_names = q["q_name"].to_numpy(), c["c_name"].to_numpy()
         if exclude_self:
             scores[q_names[:, None] == c_names[None, :]] = -np.inf
         keep = min(k, scores.shape[1])
