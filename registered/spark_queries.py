@@ -210,8 +210,7 @@ def stopword_filter(w: Stored) -> DataFrame:
 def word_ngrams(w: Stored) -> DataFrame:
     words = _documents(w).select("doc_id", without_stop_words(
         word_tokens(F.col("text")), english_stop_words()).alias("words"))
-    none_before = F.array().cast("array<string>")
-    return _token_counts(words, ngrams(none_before, F.col("words"), 1, 2), "term")
+    return _token_counts(words, ngrams(F.col("words"), F.lit(0), 1, 2), "term")
 
 
 def hashing_tf(w: Stored) -> DataFrame:

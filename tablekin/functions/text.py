@@ -1,7 +1,5 @@
 """Tokens and word n-grams of texts."""
 
-from functools import reduce
-
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,21 +25,24 @@ def without_stop_words(tokens: Column, stop_words: list[str]) -> Column:
     return F.filter(tokens, lambda token: ~token.isin(stop_words))
 
 
-def ngrams(context: Column, tokens: Column, low: int, high: int) -> Column:
-    """All n-grams of ``low`` to ``high`` words that end inside ``tokens``.
+def ngrams(words: Column, n_before: Column, low: int, high: int) -> Column:
+    """All n-grams of ``low`` to ``high`` words that end after the first ``n_before`` words.
 
-    ``context`` holds the words just before ``tokens``; grams may start there.
+    ``words`` should be a plain column. The grams of each length are those one shorter,
+    zipped with the words that follow them.
     """
-    words = F.concat(context, tokens)
-    before = F.size(context)
-
-    def of_length(n: int) -> Column:
-        first_end = F.greatest(before + 1, F.lit(n))
-        ends = F.when(F.size(words) >= first_end, F.sequence(first_end, F.size(words)))
-        grams = F.transform(ends, lambda end: F.array_join(F.slice(words, end - (n - 1), n), " "))
-        return F.coalesce(grams, F.array().cast("array<string>"))
-
-    return reduce(F.concat, [of_length(n) for n in range(low, high + 1)])
+    size = F.size(words)
+    lengths = []
+    grams = words
+    for n in range(1, high + 1):
+        if n > 1:
+            count = F.greatest(size - (n - 1), F.lit(0))
+            grams = F.zip_with(F.slice(grams, 1, count), F.slice(words, n, count),
+                               lambda gram, word: F.concat_ws(" ", gram, word))
+        if n >= low:
+            first = F.greatest(n_before - (n - 2), F.lit(1))
+            lengths.append(F.slice(grams, first, size))
+    return lengths[0] if len(lengths) == 1 else F.concat(*lengths)
 
 
 def hash_bucket(token: Column, n_features: int) -> Column:

@@ -68,12 +68,14 @@ def term_counts(values: DataFrame, stop_words: list[str],
         keep = high - 1
         tail = F.slice("words", F.greatest(F.size("words") - (keep - 1), F.lit(1)), keep)
         before = Window.partitionBy(*COLUMN).orderBy("rn").rowsBetween(-keep, -1)
+        context = words.withColumn("_before", F.flatten(F.collect_list(tail).over(before)))
         terms = (
-            words.withColumn("_before", F.flatten(F.collect_list(tail).over(before)))
-            .withColumn("_before", F.slice(
+            context.withColumn("_before", F.slice(
                 "_before", F.greatest(F.size("_before") - (keep - 1), F.lit(1)), keep))
+            .select(*COLUMN, F.concat("_before", "words").alias("words"),
+                    F.size("_before").alias("n_before"))
             .select(*COLUMN, F.explode(
-                ngrams(F.col("_before"), F.col("words"), low, high)).alias("term"))
+                ngrams(F.col("words"), F.col("n_before"), low, high)).alias("term"))
         )
     return terms.groupBy(*COLUMN, "term").agg(F.count("*").alias("tf"))
 
