@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekin.schema import TABLE
 
@@ -27,7 +28,7 @@ def unique_names(names: list[str]) -> list[str]:
     return result
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _unique_names(headers: pd.Series) -> pd.Series:
     return headers.map(lambda names: unique_names([name or "" for name in names]))
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekin.functions.frames import join_small
 from tablekin.functions.headers import unique_names
@@ -71,19 +72,20 @@ def _whole_files(files: DataFrame) -> DataFrame:
     return named.mapInPandas(_parse_files, _PARSED)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _fields(lines: pd.Series) -> pd.Series:
     csv.field_size_limit(sys.maxsize)
     return lines.map(lambda line: next(csv.reader([line]), []))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _header_names(headers: pd.Series) -> pd.Series:
     return headers.map(lambda line: unique_names(next(csv.reader([line]), [])))
 
 
 def _split_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Cells of large files, read line by line; quoted line breaks are not supported there.
+    """Cells of large files, read line by line; quoted line breaks are not supported there,
+    and lines that are not UTF-8 are skipped.
 
     The header is the first line of a file's first block. Row numbers are unique within a
     table and increase along the file, but have gaps.
@@ -93,7 +95,7 @@ def _split_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         .select("value", F.col("_metadata.file_path").alias("path"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("row_id"))
-        .filter(F.trim("value") != "")
+        .filter((F.trim("value") != "") & F.is_valid_utf8("value"))
     )
     headers = lines.filter(F.col("block") == 0).groupBy("path").agg(
         F.min_by("value", "row_id").alias("header"), F.min("row_id").alias("header_row"))
