@@ -117,7 +117,8 @@ def _round(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _documents(w: Stored) -> DataFrame:
-    return w.lake.table("documents").select("doc_id", "text")
+    """Texts partitioned by document, so that counting their words shuffles nothing more."""
+    return w.lake.table("documents").select("doc_id", "text").repartition("doc_id")
 
 
 def _token_counts(df: DataFrame, tokens, name: str = "token") -> DataFrame:
@@ -387,7 +388,7 @@ def candidate_resolution(w: Stored) -> DataFrame:
 
 
 def typed_value_sets(w: Stored) -> DataFrame:
-    return w.overlap.value_sets
+    return overlap.value_sets_by_type(w.overlap.value_sets)
 
 
 def column_overlap(w: Stored) -> DataFrame:

@@ -43,7 +43,8 @@ def value_class(value: Column) -> Column:
 
 
 def _squeezed(value: Column) -> Column:
-    return F.regexp_replace(value, r"\s", "")
+    # the patterns allow blanks at the ends only
+    return F.btrim(value, F.lit(" \t\n\x0b\f\r"))
 
 
 def as_long(value: Column) -> Column:

@@ -10,6 +10,7 @@ from tablekin.operators.statistics import unit_interval_stats
 from tablekin.schema import COLUMN, DATA_TYPES, QUERY, TABLE
 
 PAIR = ["query_table", "cand_table"]
+TYPE_BITS = {name: 1 << i for i, name in enumerate(DATA_TYPES)}
 BINS = [f"{low}-{low + 10}" for low in range(0, 100, 10)]
 
 
@@ -43,7 +44,7 @@ def resolve_candidates(pairs: DataFrame, columns_meta: DataFrame) -> DataFrame:
 
 
 def typed_value_sets(cells: DataFrame, types: DataFrame, n_columns: int) -> DataFrame:
-    """Distinct ``side, table_name, data_type, value_key``.
+    """Distinct ``side, table_name, value_key``, with ``types``, the types it has as bits.
 
     Text gives its words, integers their value, floats their value to 8 decimals, anything
     else the raw text; numeric columns that do not parse give words. Numbers of equal value
@@ -64,9 +65,19 @@ def typed_value_sets(cells: DataFrame, types: DataFrame, n_columns: int) -> Data
         .when(data_type == "float", F.array(number_key(F.round(as_double(value), 8))))
         .otherwise(F.array(F.concat(F.lit("s:"), value)))
     )
-    return typed.select(
-        *TABLE, F.when(F.col("_words"), "string").otherwise(data_type).alias("data_type"),
-        F.explode(keys).alias("value_key")).distinct()
+    bit = F.when(F.col("_words"), TYPE_BITS["string"])
+    for name, value_of_bit in TYPE_BITS.items():
+        bit = bit.when(data_type == name, value_of_bit)
+    return typed.select(*TABLE, bit.alias("types"), F.explode(keys).alias("value_key")).groupBy(
+        *TABLE, "value_key").agg(F.bit_or("types").alias("types"))
+
+
+def value_sets_by_type(value_sets: DataFrame) -> DataFrame:
+    """``side, table_name, data_type, value_key``, a row for each type of a value."""
+    names = F.array(*[F.when(F.col("types").bitwiseAND(bit) > 0, name)
+                      for name, bit in TYPE_BITS.items()])
+    return value_sets.select(*TABLE, "value_key", F.explode(names).alias("data_type")).filter(
+        F.col("data_type").isNotNull())
 
 
 def _parses(data_type: Column) -> Column:
@@ -122,64 +133,64 @@ def _with_sizes(resolved: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def _common_keys(resolved: DataFrame, keys: DataFrame, by: list[str], n_pairs: int) -> DataFrame:
-    """Keys both tables of a pair have, per pair and ``by``.
+def _counts(types: Column, prefix: str) -> list[Column]:
+    """Aggregates: all values, and those of each type."""
+    return [F.count("*").alias(prefix), *[
+        F.count_if(types.bitwiseAND(bit) > 0).alias(f"{prefix}_{name}")
+        for name, bit in TYPE_BITS.items()]]
+
 
-    The pairs meet the query's keys first; the result meets the candidate's keys by
-    candidate and key, which are as many tasks' worth of keys as there are keys.
+def value_counts(resolved: DataFrame, value_sets: DataFrame, n_pairs: int) -> DataFrame:
+    """One row per pair: values of the query, of the candidate and of both, by type and at all.
+
+    The pairs meet the query's values first; the result meets the candidate's by candidate
+    and value, keys that no row repeats more often than the candidate has queries.
     """
-    of_query = keys.filter(F.col("side") == QUERY).select(
-        F.col("table_name").alias("query_table"), *by, "value_key")
-    of_cand = keys.select(F.col("side").alias("location"),
-                          F.col("table_name").alias("cand_table"), *by, "value_key")
+    of_query = value_sets.filter(F.col("side") == QUERY).select(
+        F.col("table_name").alias("query_table"), "value_key", F.col("types").alias("_types"))
+    of_cand = value_sets.select(F.col("side").alias("location"),
+                                F.col("table_name").alias("cand_table"), "value_key", "types")
     wanted = join_small(of_query, resolved, ["query_table"], n_pairs, spread=["value_key"])
-    return wanted.join(of_cand, ["location", "cand_table", *by, "value_key"]).groupBy(
-        *PAIR, *by).agg(F.count("*").alias("common"))
+    common = wanted.join(of_cand, ["location", "cand_table", "value_key"]).groupBy(*PAIR).agg(
+        *_counts(F.col("types").bitwiseAND(F.col("_types")), "common"))
+    sizes = value_sets.groupBy(*TABLE).agg(*_counts(F.col("types"), "n"))
+    names = [c for c in sizes.columns if c not in TABLE]
+    query_sizes = sizes.filter(F.col("side") == QUERY).select(
+        F.col("table_name").alias("query_table"), *[F.col(c).alias(f"query_{c}") for c in names])
+    cand_sizes = sizes.select(
+        F.col("side").alias("location"), F.col("table_name").alias("cand_table"),
+        *[F.col(c).alias(f"cand_{c}") for c in names])
+    return (
+        resolved.join(query_sizes, "query_table", "left")
+        .join(cand_sizes, ["location", "cand_table"], "left")
+        .join(common, PAIR, "left").fillna(0)
+    )
 
 
-def value_overlap(resolved: DataFrame, value_sets: DataFrame, n_pairs: int) -> DataFrame:
+def value_overlap(counts: DataFrame) -> DataFrame:
     """Shared values of each pair over all types."""
-    keys = value_sets.select(*TABLE, "value_key").distinct()
-    sizes = keys.groupBy(*TABLE).agg(F.count("*").alias("n"))
-    common = _common_keys(resolved, keys, [], n_pairs)
-    sized = _with_sizes(resolved, sizes).join(common, PAIR, "left").withColumn(
-        "common", F.coalesce("common", F.lit(0)))
-    return sized.select(
-        *PAIR, "location", F.col("n_query").alias("query_count"),
-        F.col("n_cand").alias("cand_count"), "common",
-        *_coefficients(F.col("common"), F.col("n_query"), F.col("n_cand")))
+    return counts.select(
+        *PAIR, "location", F.col("query_n").alias("query_count"),
+        F.col("cand_n").alias("cand_count"), "common",
+        *_coefficients(F.col("common"), F.col("query_n"), F.col("cand_n")))
 
 
-def value_overlap_by_type(resolved: DataFrame, value_sets: DataFrame,
-                          n_pairs: int) -> DataFrame:
+def value_overlap_by_type(counts: DataFrame) -> DataFrame:
     """Shared values per type; a type found on one side only counts with coefficient 0."""
-    sizes = value_sets.groupBy(*TABLE, "data_type").agg(F.count("*").alias("n"))
-    of_query = resolved.join(
-        sizes.filter(F.col("side") == QUERY).select(
-            F.col("table_name").alias("query_table"), "data_type", F.col("n").alias("n_query")),
-        "query_table").select(*PAIR, "data_type", "n_query")
-    of_cand = resolved.join(
-        sizes.select(F.col("side").alias("location"), F.col("table_name").alias("cand_table"),
-                     "data_type", F.col("n").alias("n_cand")),
-        ["location", "cand_table"]).select(*PAIR, "data_type", "n_cand")
-    common = _common_keys(resolved, value_sets, ["data_type"], n_pairs)
-    both = (
-        of_query.join(of_cand, [*PAIR, "data_type"], "full")
-        .join(common, [*PAIR, "data_type"], "left")
-        .fillna(0, ["n_query", "n_cand", "common"])
-    )
-    return both.select(
-        *PAIR, "data_type", F.col("n_query").alias("query_count"),
-        F.col("n_cand").alias("cand_count"), "common",
-        *_coefficients(F.col("common"), F.col("n_query"), F.col("n_cand")))
+    per_type = F.array(*[
+        F.struct(F.lit(name).alias("data_type"), F.col(f"query_n_{name}").alias("query_count"),
+                 F.col(f"cand_n_{name}").alias("cand_count"),
+                 F.col(f"common_{name}").alias("common")) for name in DATA_TYPES])
+    return counts.select(*PAIR, F.inline(per_type)).filter(
+        (F.col("query_count") > 0) | (F.col("cand_count") > 0)
+    ).select("*", *_coefficients(F.col("common"), F.col("query_count"), F.col("cand_count")))
 
 
 def _bin() -> Column:
     """Tenth of the coefficient, in integers: 100 % falls into the last."""
-    smaller = F.least("query_count", "cand_count")
-    exact = F.when(smaller > 0, F.expr("common * 10 div least(query_count, cand_count)")).otherwise(
-        F.lit(0).cast("bigint"))
-    return F.least(F.lit(9).cast("bigint"), exact)
+    tenth = F.expr("common * 10 div least(query_count, cand_count)")
+    return F.when(F.least("query_count", "cand_count") > 0,
+                  F.least(F.lit(9).cast("bigint"), tenth)).otherwise(F.lit(0).cast("bigint"))
 
 
 def overlap_histogram(overlaps: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablekin.functions.frames import first_per_group
+from tablekin.functions.frames import SALTS, first_per_group
 from tablekin.operators.features import l2_normalise
 from tablekin.schema import MARK, QUERY
 
@@ -100,9 +100,10 @@ def _order(names_descending: bool) -> list:
     return [F.col("score").desc(), name.desc() if names_descending else name]
 
 
-def top_k(pairs: DataFrame, k: int, names_descending: bool = False) -> DataFrame:
+def top_k(pairs: DataFrame, k: int, names_descending: bool = False,
+          salts: int = SALTS) -> DataFrame:
     return first_per_group(pairs, ["query_table"], _order(names_descending), k,
-                           spread=["cand_table"], rank="rank")
+                           spread=["cand_table"], rank="rank", salts=salts)
 
 
 def pad_ranking(pairs: DataFrame, queries: DataFrame, pool: DataFrame, k: int,
@@ -123,7 +124,8 @@ def pad_ranking(pairs: DataFrame, queries: DataFrame, pool: DataFrame, k: int,
     best = top_k(pairs, k, names_descending).select("query_table", "cand_table", "score")
     merged = best.unionByName(zeros).groupBy("query_table", "cand_table").agg(
         F.max("score").alias("score"))
-    return top_k(merged, k, names_descending)
+    # at most 2k + 1 rows per query
+    return top_k(merged, k, names_descending, salts=1)
 
 
 def pooled_top_k(vectors: DataFrame, gt: DataFrame, k: int = 10, exclude_self: bool = False,

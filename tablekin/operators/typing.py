@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablekin.functions.frames import BROADCAST_ROWS, cut
 from tablekin.functions.values import as_double, as_long, is_uint64, value_class
 from tablekin.operators.sampling import column_sample
 from tablekin.schema import COLUMN
@@ -67,6 +68,14 @@ def sample_vote(cells: DataFrame, n: int = VOTE_SAMPLE) -> DataFrame:
         .when(F.col("all_numeric"), "float").otherwise("other").alias("vote"))
 
 
+def _needs_vote() -> Column:
+    """Text with gaps; columns of typed sources and numbers are clear without a vote."""
+    return (
+        (F.col("source_type") == "text") & (F.col("n_values") > 0)
+        & (F.col("n_values") < F.col("n_rows")) & ~F.col("all_double")
+    )
+
+
 def column_types(cells: DataFrame, columns_meta: DataFrame,
                  stats: DataFrame | None = None) -> DataFrame:
     """``data_type`` of every column with its row and value counts.
@@ -74,8 +83,14 @@ def column_types(cells: DataFrame, columns_meta: DataFrame,
     Whole numbers without gaps are integer, other numbers float, text without gaps string;
     text with gaps goes by the vote. A column of a typed source (``source_type`` integer or
     float) skips the text rules. Columns without values are float, without rows string.
+
+    Only columns that need a vote are sampled, unless they are too many to broadcast; then
+    all columns are, which is cheaper than to shuffle the cells.
     """
-    stats = column_stats(cells, columns_meta) if stats is None else stats
+    stats = cut(column_stats(cells, columns_meta) if stats is None else stats)
+    voters = stats.filter(_needs_vote()).select(*COLUMN)
+    if voters.count() <= BROADCAST_ROWS:
+        cells = cells.join(F.broadcast(voters), COLUMN, "left_semi")
     no_gap = F.col("n_values") == F.col("n_rows")
     source = F.col("source_type")
     data_type = (

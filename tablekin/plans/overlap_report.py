@@ -49,13 +49,17 @@ class OverlapReport:
     def columns(self) -> DataFrame:
         return cut(overlap.column_overlap(self.resolved, self.types))
 
+    @cached_property
+    def value_counts(self) -> DataFrame:
+        return cut(overlap.value_counts(self.resolved, self.value_sets, self.n_pairs))
+
     @cached_property
     def values(self) -> DataFrame:
-        return cut(overlap.value_overlap(self.resolved, self.value_sets, self.n_pairs))
+        return overlap.value_overlap(self.value_counts)
 
     @cached_property
     def values_by_type(self) -> DataFrame:
-        return cut(overlap.value_overlap_by_type(self.resolved, self.value_sets, self.n_pairs))
+        return overlap.value_overlap_by_type(self.value_counts)
 
     def histograms(self) -> DataFrame:
         """``measure, bin, n, percentage`` of columns and of values."""

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tablekin.operators.overlap import overlap_histogram
+from tablekin.operators.overlap import overlap_histogram, value_sets_by_type
 from tablekin.operators.statistics import unit_interval_stats
 from tablekin.plans.overlap_report import OverlapReport
 from tests.helpers import gt_of, lake_of, rows
@@ -61,7 +61,8 @@ def test_uncastable_columns_give_words(spark):
     cells, meta = lake_of(spark, {
         ("query", "q"): {"c": ["1"] * 8 + [None, "Big x"]}, ("lake", "c"): {"c": ["x y"]}})
     report = OverlapReport(cells, meta, gt_of(spark, {"q": ["c"]}))
-    assert rows(report.value_sets.filter("side = 'query'"), "data_type", "value_key") == [
+    sets = value_sets_by_type(report.value_sets).filter("side = 'query'")
+    assert rows(sets, "data_type", "value_key") == [
         ("string", "s:1"), ("string", "s:big"), ("string", "s:x")]
 
 
