@@ -195,14 +195,6 @@ class CarvedLake:
     def gt(self) -> DataFrame:
         return cut(ground_truth_edges(self.gt_lists))
 
-    @cached_property
-    def n_pairs(self) -> int:
-        return self.gt.count()
-
-    @cached_property
-    def n_queries(self) -> int:
-        return self.gt.select("query_table").distinct().count()
-
 
 @lru_cache(maxsize=4)
 def _lake(spark: SparkSession, application: str, sf_dir: str) -> CarvedLake:

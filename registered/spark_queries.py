@@ -84,15 +84,13 @@ class Stored:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return cut(search.pooled_top_k(self.pooled_hash, self.lake.gt, K, True,
-                                       n_queries=self.lake.n_queries))
+        return cut(search.pooled_top_k(self.pooled_hash, self.lake.gt, K, True))
 
     @cached_property
     def edges(self) -> DataFrame:
         return matching.column_pair_similarity(
             self.hash, matching.query_sides(self.lake.gt, self.hash),
-            search.candidate_pool(self.hash, LAKE), 0.1,
-            search.blocks_for(self.lake.n_queries, 100_000))
+            search.candidate_pool(self.hash, LAKE), 0.1)
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -282,8 +280,7 @@ def dense_table_vectors(w: Stored) -> DataFrame:
 
 def cosine_pairs(w: Stored) -> DataFrame:
     queries = search.valid_queries(w.lake.gt, search.pool_names(w.pooled_hash))
-    return search.cosine_pairs(w.pooled_hash, queries,
-                               search.blocks_for(w.lake.n_queries, N_FEATURES))
+    return search.cosine_pairs(w.pooled_hash, queries)
 
 
 def dense_cosine(w: Stored) -> DataFrame:
@@ -303,8 +300,7 @@ def candidate_pool(w: Stored) -> DataFrame:
 def _top_k(method: str, exclude_self: bool = False) -> Callable[[Stored], DataFrame]:
     def query(w: Stored) -> DataFrame:
         pooled = cut(search.pool_vectors(pooling.table_vectors(getattr(w, method), "max")))
-        return search.pooled_top_k(pooled, w.lake.gt, K, exclude_self,
-                                   n_queries=w.lake.n_queries)
+        return search.pooled_top_k(pooled, w.lake.gt, K, exclude_self)
 
     return query
 
@@ -334,7 +330,7 @@ def bipartite_score(w: Stored) -> DataFrame:
 
 
 def bipartite_topk(w: Stored) -> DataFrame:
-    return matching.bipartite_top_k(w.hash, w.lake.gt, K, 0.1, n_queries=w.lake.n_queries)
+    return matching.bipartite_top_k(w.hash, w.lake.gt, K, 0.1)
 
 
 def valid_queries(w: Stored) -> DataFrame:
@@ -463,7 +459,7 @@ def profile_unique_columns(w: Stored) -> DataFrame:
 
 
 def profile_combined(w: Stored) -> DataFrame:
-    return profile.profile_combined(w.profile.columns)
+    return profile.profile_combined(profile.without_duplicates(w.stats))
 
 
 # preparation and experiments

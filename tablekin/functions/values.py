@@ -73,11 +73,10 @@ def as_double(value: Column) -> Column:
     )
 
 
-def number_key(number: Column) -> Column:
-    """Set key of a number: equal for an integer and a float of the same value.
+def number_text(number: Column) -> Column:
+    """Text of a double that is equal for an integer and a float of the same value.
 
     Whole numbers a 64-bit integer can hold are written without a fraction.
     """
     whole = (number == F.floor(number)) & (F.abs(number) < F.lit(9.2e18))
-    return F.concat(F.lit("n:"), F.when(whole, number.cast("bigint").cast("string"))
-                    .otherwise(number.cast("string")))
+    return F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))

@@ -3,6 +3,7 @@
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from tablekin.functions.assignment import best_alignment, edge_matrix, upper_bound
 from tablekin.operators.search import (
     DIGITS,
-    blocks_for,
     candidate_pool,
     pad_ranking,
+    query_blocks,
     valid_queries,
 )
 from tablekin.schema import LAKE, MARK, QUERY
@@ -23,12 +24,13 @@ PAIR_SCORES = "query_table string, cand_table string, score double"
 
 
 def column_pair_similarity(vectors: DataFrame, queries: DataFrame, pool: DataFrame,
-                           threshold: float = 0.1, blocks: int = 1) -> DataFrame:
+                           threshold: float = 0.1) -> DataFrame:
     """Column pairs with cosine above ``threshold`` (>= 0): the edges of each table pair.
 
     ``vectors`` have unit length. ``queries`` is ``query_table, side``, ``pool`` is
-    ``table_name, side``; the query columns of a block are broadcast, and the candidates,
-    partitioned by column, stay in place until only pairs above the threshold are left.
+    ``table_name, side``; the query columns are broadcast block by block, and the
+    candidates, partitioned by column, stay in place until only pairs above the threshold
+    are left.
     """
     if threshold < 0:
         raise ValueError("pairs without a common entry never reach a negative threshold")
@@ -41,21 +43,14 @@ def column_pair_similarity(vectors: DataFrame, queries: DataFrame, pool: DataFra
         F.col("table_name").alias("cand_table"), F.col("col_pos").alias("cand_col"),
         "dim", "weight").repartition("cand_table", "cand_col")
 
-    def of_block(block: int) -> DataFrame:
-        part = query_columns
-        if blocks > 1:
-            part = part.filter(F.pmod(F.xxhash64("query_table"), F.lit(blocks)) == block)
-        return (
-            candidates.join(F.broadcast(part), "dim")
-            .groupBy("query_table", "query_col", "cand_table", "cand_col")
-            .agg(F.sum(F.col("weight") * F.col("_qw")).alias("sim"))
-            .filter(F.col("sim") > threshold)
-        )
-
-    edges = of_block(0)
-    for block in range(1, blocks):
-        edges = edges.unionByName(of_block(block))
-    return edges
+    parts = [
+        candidates.join(F.broadcast(block), "dim")
+        .groupBy("query_table", "query_col", "cand_table", "cand_col")
+        .agg(F.sum(F.col("weight") * F.col("_qw")).alias("sim"))
+        .filter(F.col("sim") > threshold)
+        for block in query_blocks(query_columns, ["query_table", "query_col"])
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _pair_edges(edges: DataFrame) -> DataFrame:
@@ -115,18 +110,13 @@ def query_sides(gt: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def bipartite_top_k(vectors: DataFrame, gt: DataFrame, k: int = 10, threshold: float = 0.1,
-                    exclude_self: bool = False, entries_per_query: int = 100_000,
-                    n_queries: int | None = None) -> DataFrame:
+                    exclude_self: bool = False) -> DataFrame:
     """``query_table, cand_table, score, rank`` by best alignment; ties by name, descending.
 
     ``vectors`` are column vectors, read several times, so stored or cut.
-    ``entries_per_query`` bounds the entries of one query's columns.
     """
-    if n_queries is None:
-        n_queries = gt.select("query_table").distinct().count()
     pool = candidate_pool(vectors, prefer=LAKE)
-    edges = column_pair_similarity(vectors, query_sides(gt, vectors), pool, threshold,
-                                   blocks_for(n_queries, entries_per_query))
+    edges = column_pair_similarity(vectors, query_sides(gt, vectors), pool, threshold)
     if exclude_self:
         edges = edges.filter(F.col("query_table") != F.col("cand_table"))
     return pad_ranking(bipartite_candidates(edges, k), valid_queries(gt, pool), pool, k,

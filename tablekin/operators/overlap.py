@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablekin.functions.frames import join_small
 from tablekin.functions.text import word_tokens
-from tablekin.functions.values import as_double, as_long, number_key
+from tablekin.functions.values import as_double, as_long, number_text
 from tablekin.operators.statistics import unit_interval_stats
 from tablekin.schema import COLUMN, DATA_TYPES, QUERY, TABLE
 
@@ -57,19 +57,24 @@ def typed_value_sets(cells: DataFrame, types: DataFrame, n_columns: int) -> Data
         (F.col("data_type").isin("integer", "float") & ~_parses(F.col("data_type"))).alias("_words"))
     typed = join_small(values, columns, COLUMN, n_columns, spread=["value"])
     value, data_type = F.col("value"), F.col("data_type")
-    words = F.transform(word_tokens(value), lambda word: F.concat(F.lit("s:"), word))
+    as_words = F.col("_words") | (data_type == "string")
     keys = (
-        F.when(F.col("_words") | (data_type == "string"), words)
-        .when(data_type == "integer", F.array(F.concat(
-            F.lit("n:"), F.coalesce(as_long(value).cast("string"), F.trim(value)))))
-        .when(data_type == "float", F.array(number_key(F.round(as_double(value), 8))))
-        .otherwise(F.array(F.concat(F.lit("s:"), value)))
+        F.when(as_words, word_tokens(value))
+        .when(data_type == "integer", F.array(
+            F.coalesce(as_long(value).cast("string"), F.trim(value))))
+        .when(data_type == "float", F.array(number_text(F.round(as_double(value), 8))))
+        .otherwise(F.array(value))
     )
+    is_text = as_words | (data_type == "other")
     bit = F.when(F.col("_words"), TYPE_BITS["string"])
     for name, value_of_bit in TYPE_BITS.items():
         bit = bit.when(data_type == name, value_of_bit)
-    return typed.select(*TABLE, bit.alias("types"), F.explode(keys).alias("value_key")).groupBy(
-        *TABLE, "value_key").agg(F.bit_or("types").alias("types"))
+    exploded = typed.select(
+        *TABLE, bit.alias("types"), F.when(is_text, "s:").otherwise("n:").alias("_kind"),
+        F.explode(keys).alias("value_key"))
+    return exploded.groupBy(
+        *TABLE, F.concat("_kind", "value_key").alias("value_key")
+    ).agg(F.bit_or("types").alias("types"))
 
 
 def value_sets_by_type(value_sets: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ Scores are rounded to six places before ranking; equal scores rank by name.
 """
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from tablekin.operators.features import l2_normalise
 from tablekin.schema import MARK, QUERY
 
 DIGITS = 6
-# vector entries broadcast at once; more queries are searched block by block
+# query vector entries broadcast at once; more are searched block by block
 BLOCK_ENTRIES = 4_000_000
 # vectors that meet in one matrix product
 QUERY_BLOCK = 1_000
@@ -60,17 +61,24 @@ def sample_queries(queries: DataFrame, n: int) -> DataFrame:
     return queries.orderBy(F.md5("query_table"), "query_table").limit(n)
 
 
-def blocks_for(n_queries: int, entries_per_query: int) -> int:
-    """Query blocks such that the entries of one cannot exceed what is broadcast at once."""
-    return max(1, math.ceil(n_queries * entries_per_query / BLOCK_ENTRIES))
+def query_blocks(query_entries: DataFrame, by: list[str]) -> list[DataFrame]:
+    """The entries of query vectors, cut so that each part is small enough to broadcast.
+
+    The entries are counted, so they should come from stored vectors. Parts are made by hash
+    of the ``by`` columns; results of all parts together do not depend on their number.
+    """
+    blocks = max(1, math.ceil(query_entries.count() / BLOCK_ENTRIES))
+    if blocks == 1:
+        return [query_entries]
+    part = F.pmod(F.xxhash64(*by), F.lit(blocks))
+    return [query_entries.filter(part == block) for block in range(blocks)]
 
 
-def cosine_pairs(vectors: DataFrame, queries: DataFrame, blocks: int = 1) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_table, cand_table, score`` of all pairs that share an entry.
 
-    The candidates are partitioned by table and the query vectors of a block broadcast, so
-    the sum per pair needs no shuffle and only the best k pairs of a task leave it. ``blocks_for`` says how
-    many blocks keep the broadcast small; the result does not depend on it.
+    The candidates are partitioned by table and the query vectors broadcast block by block,
+    so the sum per pair needs no shuffle and only the best k pairs of a task leave it.
     """
     entries = vectors.filter(F.col("dim") != MARK)
     query_vectors = entries.select(
@@ -78,21 +86,13 @@ def cosine_pairs(vectors: DataFrame, queries: DataFrame, blocks: int = 1) -> Dat
     ).join(queries, "query_table", "left_semi")
     candidates = entries.select(
         F.col("table_name").alias("cand_table"), "dim", "weight").repartition("cand_table")
-
-    def of_block(block: int) -> DataFrame:
-        part = query_vectors
-        if blocks > 1:
-            part = part.filter(F.pmod(F.xxhash64("query_table"), F.lit(blocks)) == block)
-        return (
-            candidates.join(F.broadcast(part), "dim")
-            .groupBy("query_table", "cand_table")
-            .agg(F.round(F.sum(F.col("weight") * F.col("_qw")), DIGITS).alias("score"))
-        )
-
-    pairs = of_block(0)
-    for block in range(1, blocks):
-        pairs = pairs.unionByName(of_block(block))
-    return pairs
+    parts = [
+        candidates.join(F.broadcast(block), "dim")
+        .groupBy("query_table", "cand_table")
+        .agg(F.round(F.sum(F.col("weight") * F.col("_qw")), DIGITS).alias("score"))
+        for block in query_blocks(query_vectors, ["query_table"])
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _order(names_descending: bool) -> list:
@@ -128,18 +128,15 @@ def pad_ranking(pairs: DataFrame, queries: DataFrame, pool: DataFrame, k: int,
     return top_k(merged, k, names_descending, salts=1)
 
 
-def pooled_top_k(vectors: DataFrame, gt: DataFrame, k: int = 10, exclude_self: bool = False,
-                 n_features: int = 4096, n_queries: int | None = None) -> DataFrame:
+def pooled_top_k(vectors: DataFrame, gt: DataFrame, k: int = 10,
+                 exclude_self: bool = False) -> DataFrame:
     """``query_table, cand_table, score, rank`` by cosine of ``pool_vectors``.
 
     ``vectors`` is read several times, so it should be stored or cut.
     """
-    if n_queries is None:
-        n_queries = gt.select("query_table").distinct().count()
     pool = pool_names(vectors)
     queries = valid_queries(gt, pool)
-    pairs = cosine_pairs(vectors, queries, blocks_for(n_queries, n_features))
-    return pad_ranking(pairs, queries, pool, k, exclude_self)
+    return pad_ranking(cosine_pairs(vectors, queries), queries, pool, k, exclude_self)
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:

@@ -113,8 +113,7 @@ def _ranking(vectors: DataFrame, gt: DataFrame, job: Job, k: int, exclude_self:
     agg, threshold = job.eval_params["agg"], job.eval_params.get("threshold")
     if job.method == "encoder":
         return rank_dense(vectors, gt, agg, k, exclude_self)
-    size = job.embedding_params.get("n_features", job.embedding_params.get("max_features", 1024))
-    return rank_sparse(vectors, gt, agg, k, exclude_self, threshold, size)
+    return rank_sparse(vectors, gt, agg, k, exclude_self, threshold)
 
 
 def grid_metrics(cells: DataFrame, columns_meta: DataFrame, gt: DataFrame, jobs: list[Job],

@@ -85,15 +85,14 @@ def dense_vectors(cells: DataFrame, columns_meta: DataFrame, params: dict[str, A
 
 
 def rank_sparse(vectors: DataFrame, gt: DataFrame, agg: str, k: int = 10,
-                exclude_self: bool = False, threshold: float | None = None,
-                n_features: int = 4096, n_queries: int | None = None) -> DataFrame:
+                exclude_self: bool = False, threshold: float | None = None) -> DataFrame:
     """Ranking by pooled vectors, or by column matching where ``agg`` is None or 'None'."""
     if agg in (None, "None"):
         if threshold is None:
             raise ValueError("matching needs a threshold")
-        return bipartite_top_k(vectors, gt, k, threshold, exclude_self, n_queries=n_queries)
+        return bipartite_top_k(vectors, gt, k, threshold, exclude_self)
     pooled = cut(pool_vectors(table_vectors(vectors, agg)))
-    return pooled_top_k(pooled, gt, k, exclude_self, n_features, n_queries)
+    return pooled_top_k(pooled, gt, k, exclude_self)
 
 
 def rank_dense(vectors: DataFrame, gt: DataFrame, agg: str, k: int = 10,

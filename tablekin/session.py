@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # per-map-task pruning of "first n per group" windows, up to this n
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # intermediate frames are deleted once no plan can read them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

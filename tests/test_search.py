@@ -45,7 +45,7 @@ def test_matching_takes_lake_candidates_and_own_query_columns(spark, vectors):
         ("lake",)]
 
 
-def test_blocks_and_partitions_do_not_matter(spark):
+def test_blocks_and_partitions_do_not_matter(spark, monkeypatch):
     rng = np.random.default_rng(1)
     entries = [("lake" if t % 3 else "query", f"t{t:02d}", 0, int(d), float(rng.random()))
                for t in range(40) for d in rng.choice(30, 6, replace=False)]
@@ -53,8 +53,9 @@ def test_blocks_and_partitions_do_not_matter(spark):
     gt = gt_of(spark, {f"t{t:02d}": ["t00"] for t in range(40)})
     pooled = search.pool_vectors(frame.drop("col_pos"))
     queries = search.valid_queries(gt, search.pool_names(pooled))
-    once = search.cosine_pairs(pooled, queries, 1)
-    blocked = search.cosine_pairs(pooled.repartition(5), queries, 7)
+    once = search.cosine_pairs(pooled, queries)
+    monkeypatch.setattr(search, "BLOCK_ENTRIES", 35)
+    blocked = search.cosine_pairs(pooled.repartition(5), queries)
     assert rows(once, *once.columns) == rows(blocked, *once.columns)
     matrix = np.zeros((40, 30))
     for _, name, _, d, w in entries:
@@ -67,9 +68,12 @@ def test_blocks_and_partitions_do_not_matter(spark):
     assert once.count() == int((cosines > 0).sum())
 
 
-def test_blocks_bound_what_is_broadcast():
-    assert search.blocks_for(0, 4096) == 1
-    assert search.blocks_for(10_000, 4096) * search.BLOCK_ENTRIES >= 10_000 * 4096
+def test_blocks_bound_what_is_broadcast(spark, monkeypatch):
+    frame = spark.range(1000).withColumnRenamed("id", "query_table")
+    assert len(search.query_blocks(frame, ["query_table"])) == 1
+    monkeypatch.setattr(search, "BLOCK_ENTRIES", 100)
+    sizes = [block.count() for block in search.query_blocks(frame, ["query_table"])]
+    assert len(sizes) == 10 and sum(sizes) == 1000
 
 
 @pytest.mark.parametrize("exclude_self", [False, True])
