@@ -56,12 +56,14 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], small_rows: int,
 def cut(df: DataFrame) -> DataFrame:
     """The frame written once to the checkpoint folder, for plans that use it several times.
 
-    The folder is the one the session names; only where there is none, as in local tests, a
-    temporary one is made. Partitioning is kept, and lost executors do not lose the data.
+    The folder is the one the session names; only in local mode a temporary one is made where
+    there is none. Lost executors do not lose the data.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablekin-"))
     return df.checkpoint()
