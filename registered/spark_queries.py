@@ -384,7 +384,10 @@ def candidate_resolution(w: Stored) -> DataFrame:
 
 
 def typed_value_sets(w: Stored) -> DataFrame:
-    return overlap.value_sets_by_type(w.overlap.value_sets)
+    """Of all tables, in a pair or not."""
+    types = cut(typing.nonempty_columns(typing.column_types(w.lake.cells, w.lake.meta)))
+    return overlap.value_sets_by_type(
+        overlap.typed_value_sets(w.lake.cells, types, w.lake.n_columns))
 
 
 def column_overlap(w: Stored) -> DataFrame:

@@ -43,6 +43,14 @@ def resolve_candidates(pairs: DataFrame, columns_meta: DataFrame) -> DataFrame:
         *PAIR, "location")
 
 
+def involved_tables(resolved: DataFrame) -> DataFrame:
+    """``side, table_name`` of all tables in a pair; the rest of the lake need not be read."""
+    queries = resolved.select(F.lit(QUERY).alias("side"), F.col("query_table").alias("table_name"))
+    candidates = resolved.select(F.col("location").alias("side"),
+                                 F.col("cand_table").alias("table_name"))
+    return queries.unionByName(candidates).distinct()
+
+
 def typed_value_sets(cells: DataFrame, types: DataFrame, n_columns: int) -> DataFrame:
     """Distinct ``side, table_name, value_key``, with ``types``, the types it has as bits.
 

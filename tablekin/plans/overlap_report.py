@@ -5,16 +5,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.functions.frames import cut
+from tablekin.functions.frames import cut, join_small
 from tablekin.operators import overlap
 from tablekin.operators.typing import column_types, nonempty_columns
+from tablekin.schema import TABLE
 
 
 class OverlapReport:
     """The frames of one report; each is built when first asked for.
 
-    Column types, value sets and per-pair results are read by several others, so they are
-    cut: every cell is scanned for the types and for the value sets, and never again.
+    Only cells of tables in a pair are used. Column types, value sets and per-pair results are
+    read by several others, so they are cut: cells are scanned for the types and for the value
+    sets, and never again.
     """
 
     def __init__(self, cells: DataFrame, columns_meta: DataFrame, gt: DataFrame,
@@ -25,13 +27,23 @@ class OverlapReport:
         self.query_list = query_list
         self.exclude_self = exclude_self
 
+    @cached_property
+    def _tables(self) -> DataFrame:
+        return cut(overlap.involved_tables(self.resolved))
+
+    @cached_property
+    def _cells(self) -> DataFrame:
+        return join_small(self.cells, self._tables, TABLE, self._tables.count(),
+                          spread=["row_id"], how="left_semi")
+
     @cached_property
     def types(self) -> DataFrame:
-        return cut(nonempty_columns(column_types(self.cells, self.columns_meta)))
+        meta = self.columns_meta.join(self._tables, TABLE, "left_semi")
+        return cut(nonempty_columns(column_types(self._cells, meta)))
 
     @cached_property
     def value_sets(self) -> DataFrame:
-        return cut(overlap.typed_value_sets(self.cells, self.types, self.types.count()))
+        return cut(overlap.typed_value_sets(self._cells, self.types, self.types.count()))
 
     @cached_property
     def pairs(self) -> DataFrame:
