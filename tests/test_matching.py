@@ -47,3 +47,31 @@ def test_unsolved_pairs_are_never_among_the_best(spark):
     best = sorted(everything.items(), key=lambda item: (-item[1], item[0]))[:5]
     assert dict(best).items() <= some.items()
     assert len(some) < len(everything)
+
+
+def test_blocks_do_not_change_edges(spark, monkeypatch):
+    from tablekin.operators import search
+    from tablekin.operators.matching import column_pair_similarity
+    rng = np.random.default_rng(4)
+    entries = []
+    for table in range(12):
+        for col in range(3):
+            w = rng.random(5)
+            w /= np.linalg.norm(w)
+            entries += [("lake", f"t{table:02d}", col, int(d), float(x))
+                        for d, x in zip(rng.choice(20, 5, replace=False), w)]
+    vectors = spark.createDataFrame(
+        entries, "side string, table_name string, col_pos int, dim int, weight double")
+    pool = vectors.select("table_name", "side").distinct()
+    queries = pool.withColumnRenamed("table_name", "query_table")
+
+    def found():
+        return sorted((r["query_table"], r["query_col"], r["cand_table"], r["cand_col"],
+                       round(r["sim"], 9))
+                      for r in column_pair_similarity(vectors, queries, pool, 0.1).collect())
+
+    once = found()
+    monkeypatch.setattr(search, "BLOCK_ENTRIES", 25)
+    assert found() == once and len(once) > 36
+    with pytest.raises(ValueError):
+        column_pair_similarity(vectors, queries, pool, -0.5)

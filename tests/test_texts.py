@@ -66,3 +66,25 @@ def test_salted_join_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(frames, "BROADCAST_ROWS", 0)
     salted = frames.join_small(big, small, ["k"], 3, ["v"])
     assert rows(plain, "k", "v", "w") == rows(salted, "k", "v", "w") and plain.count() == 201
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi"])
+def test_other_salted_joins(spark, monkeypatch, how):
+    from tablekin.functions import frames
+    big = spark.createDataFrame([("k" if i % 3 else f"k{i}", i) for i in range(60)], "k string, v int")
+    small = spark.createDataFrame([("k", 1), ("k0", 2)], "k string, w int")
+    plain = frames.join_small(big, small, ["k"], 2, ["v"], how)
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", 0)
+    salted = frames.join_small(big, small, ["k"], 2, ["v"], how)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+    assert plain.count() == (60 if how == "left" else 41)
+
+
+def test_salted_sample_equals_plain(spark, monkeypatch):
+    from tablekin.functions import frames
+    cells, _ = lake_of(spark, {
+        ("lake", "big"): {"c": list(range(900)), "d": ["x"] * 900}, ("lake", "small"): {"c": [1, None]}})
+    plain = sampling.column_sample(cells, 70)
+    monkeypatch.setattr(frames, "UNSALTED_BYTES", -1)
+    salted = sampling.column_sample(cells, 70)
+    assert rows(plain, *plain.columns) == rows(salted, *plain.columns) and plain.count() == 141
