@@ -49,4 +49,34 @@ select conv_id, count(*) as n_turns,
 from placed group by conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op8_chat_formatting": CHAT}
+REPEATS = """
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+windows as (
+  select doc_id, p, substr(x, 2 * p + 1, 200) as w
+  from docs, unnest(range(0, cast(length(x) // 2 - 99 as bigint))) as u(p)),
+again as (
+  select doc_id, p from (select doc_id, p, row_number() over (partition by w order by doc_id, p) as nth from windows)
+  where nth > 1),
+stretches as (
+  select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 100 then 0 else 1 end as fresh
+  from again),
+numbered as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from stretches),
+runs as (select doc_id, run, min(p) as a, max(p) + 100 as b from numbered group by doc_id, run),
+pieces as (
+  select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as since,
+    row_number() over (partition by doc_id order by a desc) as from_last from runs),
+cut as (
+  select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last_end,
+    string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' order by a) as kept
+  from pieces join docs using (doc_id) group by doc_id)
+select doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(case when n_spans is null then x else kept || substr(x, 2 * last_end + 1) end)) as kept_sha256
+from docs left join cut using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": DECONTAMINATION,
+    "op2_suffix_dedup": REPEATS,
+    "op8_chat_formatting": CHAT,
+}
