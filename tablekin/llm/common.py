@@ -61,3 +61,19 @@ def ascii_lower(text: Column) -> Column:
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
+
+
+def labelled_sample(labels: DataFrame, column: str, bound: int, rows: Column | None = None) -> DataFrame:
+    """(doc_id, label) of about ``bound`` labelled documents at most, chosen by a hash of the id.
+
+    Null ids and labels are left out; of several labels of a document the lowest counts. The share
+    that is taken leaves some room, so that the sample stays under the bound.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
+    known = known.dropna() if rows is None else known.dropna().filter(rows)
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
+    n = known.count()
+    if n <= bound:
+        return known
+    share = 0.97 * bound / n
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
