@@ -8,8 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "_key"
-SEARCH_ROWS = 1_000_000
+KEY, ROW = "_key", "_row"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,17 +41,27 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """``doc_id``, the named columns and ``_key``, a long that no two rows share.
 
     The key is doc_id where all are present and different. Otherwise rows are numbered in order
-    of doc_id (nulls first) and the other columns; equal rows get neighbouring numbers.
+    of doc_id (nulls first) and the first column; equal rows get neighbouring numbers.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns)
     ids = docs.groupBy("doc_id").count().agg(
         F.max("count").alias("most"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
     if (ids["most"] or 1) == 1 and ids["nulls"] == 0:
         return docs.withColumn(KEY, F.col("doc_id"))
-    numbered = docs.orderBy(*[F.col(c).asc_nulls_first() for c in ["doc_id", *columns]])
+    numbered = docs.orderBy(*[F.col(c).asc_nulls_first() for c in ["doc_id", *columns[:1]]])
     return stage(numbered.withColumn(KEY, F.monotonically_increasing_id()))
 
 
+def keyed_whole(docs: DataFrame) -> DataFrame:
+    """doc_id, text, ``_key`` and ``_row``, the whole row; other columns may have any name."""
+    return keyed(docs.select("doc_id", "text", F.struct("*").alias(ROW)), "text", ROW)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The whole rows whose ``_key`` is not in ``gone``, with the columns they had."""
+    return rows.join(gone.select(KEY), KEY, "left_anti").select(f"{ROW}.*")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     return F.translate(text, UPPER, LOWER)

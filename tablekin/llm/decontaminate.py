@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import KEY, ascii_lower, keyed
+from tablekin.llm.common import KEY, ascii_lower, keyed, keyed_whole, without
 
 WINDOW = 10
 # windows of benchmark items in one broadcast table, some 200 MB at most; more take more scans
@@ -53,8 +53,8 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: n_words, spans (pos, length) of verified windows in order, and items.
+def find_hits(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Of keyed rows: n_words, spans (pos, length) of verified windows in order, and items.
 
     The spans of a document come from one task, so they are gathered before the shuffle.
     """
@@ -62,7 +62,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     sizes = windows.groupBy("length").agg(F.sum(F.size("items") + 1).alias("n")).collect()
     lengths = sorted(row["length"] for row in sizes)
     blocks = max(1, -(-sum(row["n"] for row in sizes) // BLOCK_WINDOWS))
-    words = keyed(docs, "text").select(KEY, "doc_id", _words(F.col("text")).alias("words"))
+    words = rows.select(KEY, "doc_id", _words(F.col("text")).alias("words"))
     n_words = F.size("words")
     # position -1 stands for the document itself, so that one scan also gives those without hits
     at = words.select(KEY, "doc_id", "words", F.explode(F.sequence(F.lit(-1), n_words - 1)).alias("pos"))
@@ -108,7 +108,7 @@ def _covered(spans: str) -> Column:
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    return find_hits(docs, benchmark, window).select(
+    return find_hits(keyed(docs, "text"), benchmark, window).select(
         "doc_id", "n_words", _covered("spans").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
@@ -117,15 +117,14 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a single benchmark window, all columns as they are."""
-    bad = find_hits(docs, benchmark, window).filter(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    rows = keyed_whole(docs)
+    return without(rows, find_hits(rows, benchmark, window).filter(F.size("spans") > 0))
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id and text, with the hit words and what follows each of them up to the next word removed."""
     rows = keyed(docs, "text")
-    hits = find_hits(docs, benchmark, window).filter(F.size("spans") > 0).select(KEY, "spans")
+    hits = find_hits(rows, benchmark, window).filter(F.size("spans") > 0).select(KEY, "spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     words, between = word_array(text), F.split(text, WORD)
     kept = F.transform(words, lambda word, i: F.when(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import labelled_sample, shipped
+from tablekin.llm.common import KEY, keyed_whole, labelled_sample, shipped, without
 
 shipped(__name__)
 
@@ -34,7 +34,7 @@ MIN_PRECISION, MIN_COVERED = 0.7, 5
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines",
           "n_digits", "n_upper", "longest"]
-STATISTICS = "doc_id long, " + ", ".join(f"{name} long" for name in COUNTS)
+STATISTICS = f"{KEY} long, doc_id long, " + ", ".join(f"{name} long" for name in COUNTS)
 
 
 def repeated_words(words: list[bytes], run: int = RUN) -> int:
@@ -76,12 +76,14 @@ def _counted(batches):
     for batch in batches:
         rows = [statistics(text.as_py()) for text in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *[pa.array([row[i] for row in rows], pa.int64()) for i in range(len(COUNTS))]],
-            ["doc_id", *COUNTS])
+            [batch.column(KEY), batch.column("doc_id"), *[pa.array([row[i] for row in rows], pa.int64()) for i in range(len(COUNTS))]],
+            [KEY, "doc_id", *COUNTS])
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted, STATISTICS)
+    """COUNTS of every row; ``_key`` goes along where there is one."""
+    key = F.col(KEY) if KEY in docs.columns else F.lit(None).cast("long")
+    return docs.select(key.alias(KEY), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted, STATISTICS)
 
 
 def _share(top: str, bottom: str) -> Column:
@@ -229,17 +231,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
+def judged(docs: DataFrame, labelled: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> DataFrame:
+    """The statistics of ``docs`` with base_failed, the first failed rule and kept; rules come from ``labelled``."""
+    rule = failing_rule(fit_rules(labelled, labels, bound))
+    return text_statistics(docs).withColumns({"base_failed": base_failed(), "rule": rule}).withColumn(
+        "kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
 def report(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the base statistics, base_failed, the first failed rule and kept of every document."""
-    rules = fit_rules(docs, labels, bound)
-    rule = failing_rule(rules)
-    return text_statistics(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), rule.alias("rule"), (~base_failed() & rule.isNull()).alias("kept"))
+    return judged(docs.select("doc_id", "text"), docs, labels, bound).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that pass, with all their columns."""
-    judged = report(docs, labels, bound).filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(judged, docs["doc_id"].cast("long").eqNullSafe(judged["_bad"]), "left_anti")
-
+    rows = keyed_whole(docs)
+    return without(rows, judged(rows, docs, labels, bound).filter("not kept"))
