@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablekin.llm import bpe, chat, decontaminate, near_dedup, quality_rules, suffix_dedup
+from tablekin.llm import bpe, chat, ctw, decontaminate, near_dedup, quality_rules, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.report(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bpe": op3_bpe,
     "op5_near_dedup": op5_near_dedup,
+    "op6_ctw_scoring": op6_ctw_scoring,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
 }
