@@ -13,6 +13,7 @@ no difference.
 
 import hashlib
 import json
+import os
 from collections import Counter
 
 import numpy as np
@@ -27,6 +28,7 @@ shipped(__name__)
 
 TABLE_WORDS = 1 << 18  # words in the broadcast table, some 20 bytes each
 MEMORY_WORDS = 1 << 17  # other words a task remembers
+COUNTED_WORDS = 1 << 18  # distinct words a task counts before it passes them on
 # fixed value: how the byte-level tokenizer splits texts
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # characters of which all Unicode versions think alike; texts with others are split by the library
@@ -74,32 +76,37 @@ def splitter(model: str):
     return split
 
 
-def _encode_words(model: str):
+def _tokenizer(model: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     tokenizer = Tokenizer.from_str(model)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda words: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    return lambda word: np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encoder(model: str, table: dict[str, bytes]):
     """A function from a text to its ids as little-endian bytes."""
-    split, encode = splitter(model), _encode_words(model)
+    split, encode = splitter(model), _tokenizer(model)
     memory: dict[str, bytes] = {}
 
+    def rare(word: str) -> bytes:
+        known = memory.get(word)
+        if known is None:
+            if len(memory) >= MEMORY_WORDS:
+                memory.clear()
+            known = memory[word] = encode(word)
+        return known
+
     def ids(text: str) -> bytes:
         words = split(text)
-        try:
-            return b"".join(map(table.__getitem__, words))
-        except KeyError:
-            pass
-        rare = [word for word in set(words) if word not in table and word not in memory]
-        if len(memory) + len(rare) > MEMORY_WORDS:
-            memory.clear()
-            rare = [word for word in set(words) if word not in table]
-        memory.update(zip(rare, encode(rare)))
-        return b"".join([table.get(word) or memory[word] for word in words])
+        made = list(map(table.get, words))
+        at = -1
+        for _ in range(made.count(None)):
+            at = made.index(None, at + 1)
+            made[at] = rare(words[at])
+        return b"".join(made)
 
     return ids
 
@@ -110,16 +117,23 @@ def decoder(pieces: list[bytes]):
 
 
 def word_counts(docs: DataFrame, model: str) -> DataFrame:
-    """(word, n) of all distinct words; each batch is counted before words are shuffled."""
+    """(word, n) of all distinct words; tasks count before words are shuffled."""
 
     def count(batches):
         split = splitter(model)
+        words: Counter[str] = Counter()
+
+        def counted():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+
         for batch in batches:
-            words: Counter[str] = Counter()
             for text in batch.column("text"):
                 words.update(split(text.as_py() or ""))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+                if len(words) > COUNTED_WORDS:
+                    yield counted()
+                    words.clear()
+        yield counted()
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -139,10 +153,10 @@ def word_table(docs: DataFrame, model: str, bound: int = TABLE_WORDS) -> dict[st
         return {}
 
     def encode(batches):
-        ids = _encode_words(model)
+        ids = _tokenizer(model)
         for batch in batches:
             words = batch.column("word")
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids(words.to_pylist()), pa.binary())], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([words, pa.array(map(ids, words.to_pylist()), pa.binary())], ["word", "ids"])
 
     table = counts.filter(level >= least).select("word").mapInArrow(encode, "word string, ids binary").toArrow()
     return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist()))
