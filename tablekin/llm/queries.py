@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablekin.llm import bpe, chat, ctw, decontaminate, near_dedup, quality_rules, secrets, suffix_dedup
+from tablekin.llm import bpe, chat, ctw, decontaminate, near_dedup, quality_rules, secrets, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_near_dedup": op5_near_dedup,
     "op6_ctw_scoring": op6_ctw_scoring,
+    "op7_toxicity": op7_toxicity,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
 }
