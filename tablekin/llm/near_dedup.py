@@ -9,9 +9,10 @@ thousands of those that share a passage. Texts of few k-mers have 12 sketches of
 Candidates are verified by banded alignment of their k-mers: with a k-mers aligned in order out of n and
 m, the similarity a / (n + m - a) must be 0.8 or more; such an alignment never leaves the band of
 (n + m) / 9 around the diagonal. Documents of equal words are one class from the start. Classes are
-the connected components of the verified links. Of the candidate pairs, those inside a known class are
-not aligned: first each document meets the smallest document of the bucket that it
-shares most often, then that of its other buckets, then all of its buckets that are in another class.
+the connected components of the verified links: first each document is aligned with the smallest document
+of the bucket they share most often; then, in every bucket that still holds two classes, shared k-mers are
+counted for all members by matrix products, and those with enough are aligned unless they are
+connected by then. No pair becomes a row, and large buckets are split into groups of bounded size.
 
 Null and empty texts have no words and are near nothing; texts under five words only equal texts.
 Repeated rows are copies; rows that share a doc_id or have none are told apart by their text. Other
@@ -37,6 +38,8 @@ WORDS, TAKEN, SKETCHES = 5, 8, 40
 SHORT_TAKEN, SHORT_SKETCHES, SHORT_UPTO, LONG_FROM = 2, 12, 24, 16
 # ids of candidates that are broadcast to pick their texts (8 bytes each); more are found by a join
 BROADCAST_IDS = 2_000_000
+GROUP = 1_000  # rows of a bucket that are compared in one task; larger buckets make several groups
+COLUMNS = 4096  # k-mers counted at once
 MEMORY_WORDS = 500_000  # word hashes a task remembers
 
 _random = np.random.default_rng(20190712)
@@ -180,17 +183,83 @@ def _verify(pairs: DataFrame, kmers: DataFrame) -> DataFrame:
                  .mapInArrow(_verified, "a long, b long"))
 
 
-def _in_classes(shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """The bucket rows of buckets that still hold two classes, with the class of each row."""
-    roots = components(edges)
-    labelled = shared.join(roots, "node", "left").select(
-        "bucket", "node", "rep", F.coalesce("root", "node").alias("class"))
-    open_ = labelled.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    return stage(labelled.join(open_.select("bucket"), "bucket"))
+def common_counts(kmers: list[np.ndarray]) -> np.ndarray:
+    """How many k-mers each two texts share; only those of two texts or more are looked at."""
+    n = len(kmers)
+    owner = np.repeat(np.arange(n), [len(one) for one in kmers])
+    known, column, times = np.unique(np.concatenate(kmers), return_inverse=True, return_counts=True)
+    column = (np.cumsum(times > 1) - 1)[column], times[column] > 1
+    column, owner = column[0][column[1]], owner[column[1]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    counts = np.zeros((n, n), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[owner[part], column[part] - low] = 1
+        counts += has @ has.T
+    return counts
+
+
+def group_links(nodes: list[int], classes_: list[int], kmers: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between texts of different classes; pairs that earlier links connect are left out."""
+    root = {one: one for one in classes_}
+
+    def find(one):
+        while root[one] != one:
+            root[one] = one = root[root[one]]
+        return one
+
+    sizes = np.array([len(one) for one in kmers])
+    own = np.array(classes_)
+    near = 9 * common_counts(kmers) >= 4 * (sizes[:, None] + sizes[None, :])
+    links = []
+    for i, j in np.argwhere(np.triu(near & (own[:, None] != own[None, :]), 1)).tolist():
+        a, b = find(classes_[i]), find(classes_[j])
+        if a != b and aligned(kmers[i], kmers[j]):
+            root[a] = b
+            links.append((nodes[i], nodes[j]))
+    return links
+
+
+def _grouped(batches):
+    """Links of each group; the rows of a group follow each other."""
+    key, held = None, []
+
+    def links():
+        found = group_links(*zip(*held)) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays(
+            [pa.array([one[i] for one in found], pa.int64()) for i in range(2)], ["a", "b"])
 
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for batch in batches:
+        rows = zip(*[batch.column(name).to_pylist() for name in ("bucket", "low", "high", "node", "class")], batch.column("kmers"))
+        for *group, node, own, kmers in rows:
+            if group != key:
+                yield links()
+                key, held = group, []
+            held.append((node, own, kmers.values.to_numpy()))
+    yield links()
+
+
+def _open_groups(shared: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold two classes, in groups of bounded size.
+
+    Of buckets with equal members one stays. A bucket of more than GROUP rows is dealt into parts
+    by a hash, and each two parts are a group.
+    """
+    labelled = stage(shared.join(components(edges), "node", "left").select(
+        "bucket", "node", F.coalesce("root", "node").alias("class")))
+    members = labelled.groupBy("bucket").agg(
+        F.min("class").alias("first"), F.max("class").alias("last"), F.count("*").alias("n"),
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.min("node").alias("least"), F.max("node").alias("most"))
+    kinds = members.filter("first <> last").groupBy("n", "sum", "least", "most").agg(F.min("bucket").alias("bucket"))
+    parts = F.ceil(F.col("n") / GROUP)
+    dealt = labelled.join(kinds.select("bucket", parts.alias("parts")), "bucket").withColumn(
+        "part", F.pmod(F.xxhash64("node"), "parts"))
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != F.col("part")))
+    return dealt.withColumn("other", F.explode(others)).select(
+        "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "class")
 
 
 def find_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,27 +273,15 @@ def find_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         known = np.sort(candidates.toPandas()["node"].to_numpy(np.int64))
     kmers = texts.mapInArrow(_kmers_of(known), "node long, kmers array<int>")
     kmers = stage(kmers if known is not None else kmers.join(candidates, "node", "left_semi"))
-    # 1: the smallest document of the bucket shared most often
+    # first the smallest document of the bucket shared most often
     met = shared.filter("node <> rep").groupBy("node", "rep").count()
     best = met.groupBy("node").agg(F.max(F.struct("count", (-F.col("rep")).alias("least"))).alias("best"))
-    tried = stage(_ordered(best.select((-F.col("best.least")).alias("a"), F.col("node").alias("b"))))
-    edges = _verify(tried, kmers)
-    # 2: the smallest documents of all its buckets
-    left = _in_classes(shared, edges)
-    rep_class = left.filter("node = rep").select("bucket", F.col("class").alias("rep_class"))
-    more = _ordered(left.join(rep_class, "bucket").filter("class <> rep_class").select(
-        F.col("rep").alias("a"), F.col("node").alias("b")))
-    more = stage(more.join(tried, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        return edges
-    edges, tried = edges.unionByName(_verify(more, kmers)), tried.unionByName(more)
-    # 3: what shares a bucket and is still in another class
-    left = _in_classes(left.select("bucket", "node", "rep"), edges)
-    one, two = left.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca")), left.select(
-        "bucket", F.col("node").alias("b"), F.col("class").alias("cb"))
-    more = _ordered(one.join(two, "bucket").filter("ca < cb").select("a", "b"))
-    more = stage(more.join(tried, ["a", "b"], "left_anti"))
-    return edges if more.isEmpty() else edges.unionByName(_verify(more, kmers))
+    edges = _verify(best.select((-F.col("best.least")).alias("a"), F.col("node").alias("b")), kmers)
+    # then whatever shares a bucket and is in another class
+    groups = _open_groups(shared.select("bucket", "node"), edges).join(kmers, "node")
+    order = ["bucket", "low", "high"]
+    more = groups.repartition(*order).sortWithinPartitions(*order, "node").select(*order, "node", "class", "kmers")
+    return edges.unionByName(stage(more.mapInArrow(_grouped, "a long, b long")))
 
 
 def classes(rows: DataFrame) -> DataFrame:

@@ -77,6 +77,8 @@ def test_join_path_equals_broadcast_path(spark, docs, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     before = sorted(map(tuple, nd.report(frame).collect()))
     monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(nd, "GROUP", 2)
+    monkeypatch.setattr(nd, "COLUMNS", 16)
     assert sorted(map(tuple, nd.report(frame).collect())) == before
 
 
