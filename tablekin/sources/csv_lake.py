@@ -1,23 +1,25 @@
 """Lakes of CSV files, one table per file, each with its own header."""
 
 import csv
-import io
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablekin.functions.frames import join_small
 from tablekin.functions.headers import unique_names
-from tablekin.functions.values import NA_TOKENS, null_if_missing, strip_csv
+from tablekin.functions.values import null_if_missing, strip_csv
 from tablekin.schema import COLUMN
+from tablekin.sources.frames_lake import readable_path
 
-# larger files are split into lines by Spark and shared by many tasks
-WHOLE_FILE_BYTES = 32 * 1024 * 1024
-CELLS_PER_BATCH = 200_000
+# a text that stands for no value, so that empty fields stay texts and absent ones are null
+NO_VALUE = "\x00"
+MOST_COLUMNS = 1_000_000
 
 _PARSED = "table_name string, col_pos int, col_name string, row_id long, value string"
 
@@ -27,110 +29,88 @@ def _table_name(path) -> F.Column:
         F.regexp_replace(path, r"\+", "%2B"), "/"), -1)))
 
 
-def _parse_file(content: bytes) -> Iterator[tuple[int, str, int, str | None]]:
-    """Cells of one file; the header comes as row -1. Rows with too many fields are skipped."""
-    csv.field_size_limit(sys.maxsize)
-    text = content.decode("utf-8-sig")
-    lines = (line for line in csv.reader(io.StringIO(text, newline="")) if line)
-    header = next(lines, None)
-    if header is None:
-        return
-    names = unique_names(header)
-    for pos, name in enumerate(names):
-        yield pos, name, -1, None
-    missing = set(NA_TOKENS)
-    row_id = 0
-    for fields in lines:
-        if len(fields) > len(names):
-            continue
-        fields += [""] * (len(names) - len(fields))
-        for pos, (name, value) in enumerate(zip(names, fields)):
-            yield pos, name, row_id, None if value in missing else value
-        row_id += 1
-
-
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["table_name", "col_pos", "col_name", "row_id", "value"]
-    for batch in batches:
-        for name, content in zip(batch["table_name"], batch["content"]):
-            rows: list[tuple] = []
-            try:
-                for cell in _parse_file(content):
-                    rows.append((name, *cell))
-                    if len(rows) >= CELLS_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-            except (UnicodeDecodeError, csv.Error):
-                # an unreadable file is left out; one found so late keeps the rows before
-                continue
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
-
-
-def _whole_files(files: DataFrame) -> DataFrame:
-    named = files.select(_table_name(F.col("path")).alias("table_name"), "content")
-    return named.mapInPandas(_parse_files, _PARSED)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _fields(lines: pd.Series) -> pd.Series:
-    csv.field_size_limit(sys.maxsize)
-    return lines.map(lambda line: next(csv.reader([line]), []))
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _header_names(headers: pd.Series) -> pd.Series:
+    csv.field_size_limit(sys.maxsize)
     return headers.map(lambda line: unique_names(next(csv.reader([line]), [])))
 
 
-def _split_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Cells of large files, read line by line; quoted line breaks are not supported there,
-    and lines that are not UTF-8 are skipped.
+def _headers(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, names`` of all readable files: the first line that is not blank.
 
-    The header is the first line of a file's first block. Row numbers are unique within a
-    table and increase along the file, but have gaps.
+    A file with a byte sequence that is not UTF-8 is left out whole, whatever its size.
     """
     lines = (
-        spark.read.text(paths)
+        spark.read.option("pathGlobFilter", "*.csv").text(folder)
         .select("value", F.col("_metadata.file_path").alias("path"),
                 F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row_id"))
-        .filter((F.trim("value") != "") & F.is_valid_utf8("value"))
+                F.monotonically_increasing_id().alias("at"))
     )
-    headers = lines.filter(F.col("block") == 0).groupBy("path").agg(
-        F.min_by("value", "row_id").alias("header"), F.min("row_id").alias("header_row"))
-    headers = headers.select(
-        "path", "header_row",
-        _header_names(F.regexp_replace("header", "^﻿", "")).alias("names"))
-    tables = headers.select(_table_name(F.col("path")).alias("table_name"),
-                            F.posexplode("names").alias("col_pos", "col_name"),
-                            F.lit(-1).cast("long").alias("row_id"),
-                            F.lit(None).cast("string").alias("value"))
-    rows = join_small(lines, headers, ["path"], len(paths), spread=["row_id"]).filter(
-        F.col("row_id") != F.col("header_row"))
-    parsed = rows.select("path", "row_id", "names", _fields("value").alias("fields")).filter(
-        F.size("fields") <= F.size("names"))
-    cells = parsed.select(_table_name(F.col("path")).alias("table_name"), "row_id", "fields",
-                          F.posexplode("names").alias("col_pos", "col_name"))
-    return cells.select(
-        "table_name", "col_pos", "col_name", "row_id",
-        null_if_missing(F.get("fields", "col_pos")).alias("value")).unionByName(tables)
-
-
-def parse_csv_lake(spark: SparkSession, folder: str,
-                   whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """Parsed cells of all ``*.csv`` of a folder, with each header as row -1.
+    filled = F.trim("value") != ""
+    # the first line of a file's first filled block
+    place = F.when(filled, F.struct("block", "at"))
+    per_file = lines.groupBy("path").agg(
+        F.every(F.is_valid_utf8("value")).alias("readable"), F.min_by("value", place).alias("header"))
+    return per_file.filter(F.col("readable") & F.col("header").isNotNull()).select(
+        "path", _header_names(F.regexp_replace("header", "^﻿", "")).alias("names"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows numbered from 0 within each file; a file is read by one task in its order."""
+    path, seen = None, 0
+    for batch in batches:
+        paths = batch.column("path").to_pylist()
+        numbers = []
+        for own in paths:
+            path, seen = own, seen + 1 if own == path else 0
+            numbers.append(seen)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), pa.array(numbers, pa.int64()), batch.column("fields")],
+            ["path", "row_id", "fields"])
+
 
-    Small files are parsed one per record, large ones split by Spark. Sizes come from the
-    file listing; contents of large files are not loaded to find out.
+def _rows(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
+    """``path, row_id, fields`` of files with so many columns.
+
+    One more column is read than there are: what stands in it comes from rows with too many
+    fields, which are skipped. Fields that a short row lacks are null.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
+    names = [f"c{pos}" for pos in range(width + 1)]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    frame = (
+        spark.read.schema(schema).option("header", True).option("multiLine", True)
+        .option("escape", '"').option("nullValue", NO_VALUE).option("emptyValue", "")
+        .option("maxColumns", MOST_COLUMNS).option("mode", "PERMISSIVE").csv([readable_path(path) for path in paths])
     )
-    parsed = _whole_files(files.filter(F.col("length") <= whole_file_bytes))
-    large = [row.path for row in files.filter(F.col("length") > whole_file_bytes)
-             .select("path").collect()]
-    return parsed.unionByName(_split_files(spark, large)) if large else parsed
+    return frame.filter(F.col(names[-1]).isNull()).select(
+        F.col("_metadata.file_path").alias("path"), F.array(*names[:-1]).alias("fields"),
+    ).mapInArrow(_numbered, "path string, row_id long, fields array<string>")
+
+
+def parse_csv_lake(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed cells of all ``*.csv`` of a folder, with each header as row -1.
+
+    Files of equally many columns are read by one scan of Spark's CSV reader; its plan grows
+    with the number of different widths, not of files. Quoted line breaks are kept, so a
+    file is read as a stream by one task. The paths of the files, no more, pass the driver.
+    """
+    headers = _headers(spark, folder)
+    listed = headers.select("path", F.size("names").alias("width")).collect()
+    if not listed:
+        return spark.createDataFrame([], _PARSED)
+    tables = headers.select(
+        _table_name(F.col("path")).alias("table_name"), F.posexplode("names").alias("col_pos", "col_name"),
+        F.lit(-1).cast("long").alias("row_id"), F.lit(None).cast("string").alias("value"))
+    parts = []
+    for width in sorted({row["width"] for row in listed}):
+        rows = _rows(spark, [row["path"] for row in listed if row["width"] == width], width)
+        named = join_small(rows, headers, ["path"], len(listed), spread=["row_id"])
+        parts.append(named.select(
+            _table_name(F.col("path")).alias("table_name"), "row_id", "fields",
+            F.posexplode("names").alias("col_pos", "col_name"),
+        ).select("table_name", "col_pos", "col_name", "row_id",
+                 null_if_missing(F.get("fields", "col_pos")).alias("value")))
+    return reduce(DataFrame.unionByName, [*parts, tables])
 
 
 def split_parsed(parsed: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
@@ -142,10 +122,9 @@ def split_parsed(parsed: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
     return cells, meta
 
 
-def read_csv_lake(spark: SparkSession, folder: str, side: str,
-                  whole_file_bytes: int = WHOLE_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+def read_csv_lake(spark: SparkSession, folder: str, side: str) -> tuple[DataFrame, DataFrame]:
     """``cells`` and ``columns_meta`` of a folder of CSV files.
 
     Files are parsed again by every plan that reads the frames; ``store_lake`` keeps them.
     """
-    return split_parsed(parse_csv_lake(spark, folder, whole_file_bytes), side)
+    return split_parsed(parse_csv_lake(spark, folder), side)

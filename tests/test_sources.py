@@ -3,16 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tablekin.functions.frames import cut
 from tablekin.functions.headers import disambiguate_headers, unique_names
 from tablekin.operators import prep
 from tablekin.sources.csv_lake import read_csv_lake
-from tablekin.sources.frames_lake import (
-    cells_of_frame,
-    load_lake,
-    meta_of_frame,
-    read_parquet_lake,
-    store_lake,
-)
+from tablekin.sources.frames_lake import load_lake, read_parquet_lake, store_lake
 from tablekin.sources.ground_truth import ground_truth_edges, read_ground_truth
 from tests.helpers import gt_of, lake_of, rows
 
@@ -39,9 +34,11 @@ ONE = [("a", "1"), ("a", "3"), ("a", "7"), ("a.1", "4"), ("a.1", "None"), ("a.1"
        ("b", "2"), ("b", "None"), ("b", 'q"z')]
 
 
-@pytest.mark.parametrize("whole_file_bytes", [1 << 20, 0])
-def test_csv(spark, folder, whole_file_bytes):
-    cells, meta = read_csv_lake(spark, folder, "lake", whole_file_bytes)
+@pytest.mark.parametrize("split", ["128m", "8"])
+def test_csv(spark, folder, split):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    cells, meta = (cut(frame) for frame in read_csv_lake(spark, folder, "lake"))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     one = cells.filter("table_name = 'one'").select(
         "col_name", F.coalesce("value", F.lit("None")).alias("value"))
     assert rows(one, "col_name", "value") == sorted(ONE)
@@ -52,11 +49,17 @@ def test_csv(spark, folder, whole_file_bytes):
     assert cells.groupBy("table_name", "col_pos", "row_id").count().filter("count > 1").count() == 0
 
 
-def test_whole_files_keep_line_breaks_and_skip_unreadable_files(spark, folder):
-    cells, meta = read_csv_lake(spark, folder, "lake")
     assert rows(cells.filter("table_name = 'quoted'"), "value") == [("line\nbreak",)]
-    assert cells.filter("table_name = 'bad' and value is not null").count() == 0
-    assert "empty" not in {r[0] for r in rows(meta, "table_name")}
+    assert not {"bad", "empty"} & {r[0] for r in rows(meta, "table_name")}
+    assert cells.filter("table_name in ('bad', 'empty')").count() == 0
+    ids = cells.filter("table_name = 'one' and col_pos = 0").select("row_id")
+    assert rows(ids, "row_id") == [(0,), (1,), (2,)]
+
+
+def test_csv_folder_without_files(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("a")
+    cells, meta = read_csv_lake(spark, str(tmp_path), "lake")
+    assert cells.count() == 0 and meta.count() == 0
 
 
 def test_stored_lake(spark, folder, tmp_path):
@@ -83,23 +86,39 @@ def test_disambiguated_headers(spark):
     assert rows(disambiguate_headers(doubled), "col_pos", "col_name") == [(0, "a"), (1, "a.1")]
 
 
-def test_typed_frames(spark, tmp_path):
+def test_typed_parquet(spark, tmp_path):
     frame = spark.sql("""select 1L as i, cast(1.50 as decimal(5,2)) as d, timestamp'2020-01-02 03:04:05'
-                         as t, date'2020-01-02' as day, true as b, 'NA' as s""")
-    values = {r["col_name"]: r["value"] for r in cells_of_frame(frame, "x", "lake").collect()}
+                         as t, date'2020-01-02' as day, true as b, 'NA' as s, 'x' as table_name""")
+    paths = {"p": f"{tmp_path}/a folder+%/p", "p2": f"file://{tmp_path}/p2"}
+    for path in paths.values():
+        frame.write.parquet(path)
+    cells, meta = read_parquet_lake(spark, paths, "lake")
+    values = {r["col_name"]: r["value"] for r in cells.filter("table_name = 'p'").collect()}
     assert values == {"i": "1", "d": "1.50", "t": "2020-01-02 03:04:05", "day": "2020-01-02",
-                      "b": "True", "s": None}
-    types = {r["col_name"]: r["source_type"] for r in meta_of_frame(frame, "x", "lake").collect()}
-    assert types == {"i": "integer", "d": "float", "t": "text", "day": "text", "b": "text", "s": "text"}
-    paths = {}
-    for name in ("p", "p2"):
-        paths[name] = f"{tmp_path}/{name}"
-        frame.write.parquet(paths[name])
-    spark.range(3).write.parquet(f"{tmp_path}/other")
-    cells, meta = read_parquet_lake(spark, {**paths, "o": f"{tmp_path}/other"}, "lake")
-    counts = cells.groupBy("table_name").count()
-    assert rows(counts, "table_name", "count") == [("o", 3), ("p", 6), ("p2", 6)]
-    assert meta.count() == 13
+                      "b": "True", "s": None, "table_name": "x"}
+    types = {r["col_name"]: r["source_type"] for r in meta.filter("table_name = 'p2'").collect()}
+    assert types == {"i": "integer", "d": "float", "t": "text", "day": "text", "b": "text", "s": "text",
+                     "table_name": "text"}
+    assert rows(cells.groupBy("table_name").count(), "table_name", "count") == [("p", 7), ("p2", 7)]
+
+
+def test_parquet_tables_in_tables_and_single_files(spark, tmp_path):
+    spark.range(3).repartition(2).write.parquet(f"{tmp_path}/outer")
+    spark.range(2).write.parquet(f"{tmp_path}/outer/inner")
+    spark.range(4).coalesce(1).write.parquet(f"{tmp_path}/one")
+    file, = [str(p) for p in (tmp_path / "one").glob("part-*.parquet")]
+    spark.range(6).selectExpr("id", "id % 2 as half").write.partitionBy("half").parquet(f"{tmp_path}/halves")
+    tables = {"outer": f"{tmp_path}/outer", "inner": f"{tmp_path}/outer/inner", "file": file, "again": file,
+              "halves": f"{tmp_path}/halves"}
+    cells, meta = read_parquet_lake(spark, tables, "lake")
+    counts = cells.groupBy("table_name").agg(
+        F.count("*").alias("n"), F.countDistinct("row_id").alias("ids"))
+    assert rows(counts, "table_name", "n", "ids") == [
+        ("again", 4, 4), ("file", 4, 4), ("halves", 12, 6), ("inner", 2, 2), ("outer", 3, 3)]
+    assert meta.count() == 6
+    (tmp_path / "none").mkdir()
+    with pytest.raises(Exception, match="none|schema|files"):
+        read_parquet_lake(spark, {"none": f"{tmp_path}/none"}, "lake")
 
 
 def test_ground_truth_formats(spark, tmp_path):
