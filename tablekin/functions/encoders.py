@@ -17,6 +17,7 @@ class HashedWords:
 
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self.name = f"hashed_words_{dim}"
 
     def __call__(self) -> Encode:
         return self.encode
@@ -31,6 +32,16 @@ class HashedWords:
         return np.divide(out, length, out=out, where=length > 0)
 
 
+def encoder_name(encoder: Callable) -> str:
+    """What tells an encoder from others in stores and records."""
+    name = getattr(encoder, "name", None)
+    if isinstance(name, str):
+        return name
+    kind = encoder if hasattr(encoder, "__qualname__") else type(encoder)
+    held = sorted((key, str(value)) for key, value in getattr(encoder, "__dict__", {}).items())
+    return f"{kind.__module__}.{kind.__qualname__}{held or ''}"
+
+
 def encoded(text: Column, encoder: Callable[[], Encode], batch_size: int = 256) -> Column:
     """Vectors of texts; each Python worker loads the encoder once and feeds it batches."""
 

@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from tablekin.functions.assignment import best_alignment, edge_matrix, upper_bound
 from tablekin.operators.search import (
+    CANDIDATE_BLOCK,
     DIGITS,
+    QUERY_BLOCK,
     candidate_pool,
     pad_ranking,
     query_blocks,
+    unit_rows,
     valid_queries,
 )
-from tablekin.schema import LAKE, MARK, QUERY
+from tablekin.schema import LAKE, MARK, QUERY, TABLE
 
 PAIR_SCORES = "query_table string, cand_table string, score double"
 
@@ -53,6 +56,49 @@ def column_pair_similarity(vectors: DataFrame, queries: DataFrame, pool: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+def dense_column_pairs(vectors: DataFrame, queries: DataFrame, pool: DataFrame,
+                       threshold: float = 0.1) -> DataFrame:
+    """The same for dense vectors: ``side, table_name, unit_id, vec``, one per column.
+
+    Columns are cut into blocks by table name and column; blocks of query columns meet blocks of
+    candidate columns in one matrix product, which keeps what is above the threshold. Cosines
+    below it, negative ones included, leave no edge, and a column without length is like none.
+    """
+    if threshold < 0:
+        raise ValueError("what has no edge would score more than some that have one")
+    own = vectors.join(queries.withColumnRenamed("query_table", "table_name"), ["side", "table_name"])
+    others = vectors.join(pool, ["side", "table_name"])
+    q_blocks = max(1, -(-own.count() // QUERY_BLOCK))
+    c_blocks = max(8, -(-others.count() // CANDIDATE_BLOCK))
+
+    def block(n: int):
+        return F.pmod(F.xxhash64("table_name", "unit_id"), F.lit(n)).cast("int")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def side(frame: DataFrame, letter: str, n: int, other: str, m: int) -> DataFrame:
+        # fresh names: both sides come from the same frame
+        return frame.select(
+            F.col("table_name").alias(f"{letter}_table"), F.col("unit_id").cast("int").alias(f"{letter}_col"),
+            F.col("vec").alias(f"{letter}_vec"), block(n).alias(f"{letter}b"), every(m).alias(f"{other}b"))
+
+    def pairs(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_table", "query_col", "cand_table", "cand_col", "sim"]
+        if q.empty or c.empty:
+            return pd.DataFrame(columns=names)
+        sims = unit_rows(q["q_vec"]) @ unit_rows(c["c_vec"]).T
+        row, col = np.nonzero(sims > threshold)
+        q, c = q.iloc[row], c.iloc[col]
+        return pd.DataFrame(dict(zip(names, [
+            q["q_table"].to_numpy(), q["q_col"].to_numpy(), c["c_table"].to_numpy(),
+            c["c_col"].to_numpy(), sims[row, col]])))
+
+    return side(own, "q", q_blocks, "c", c_blocks).groupBy("qb", "cb").cogroup(
+        side(others, "c", c_blocks, "q", q_blocks).groupBy("qb", "cb")).applyInPandas(
+        pairs, "query_table string, query_col int, cand_table string, cand_col int, sim double")
+
+
 def _pair_edges(edges: DataFrame) -> DataFrame:
     """One row per table pair; its lists are no longer than columns times columns."""
     return edges.groupBy("query_table", "cand_table").agg(
@@ -117,6 +163,25 @@ def bipartite_top_k(vectors: DataFrame, gt: DataFrame, k: int = 10, threshold: f
     """
     pool = candidate_pool(vectors, prefer=LAKE)
     edges = column_pair_similarity(vectors, query_sides(gt, vectors), pool, threshold)
+    return _rank_edges(edges, gt, pool, k, exclude_self)
+
+
+def dense_marks(vectors: DataFrame) -> DataFrame:
+    """One row per vector that stands for its mark."""
+    return vectors.select(*TABLE, F.lit(MARK).alias("dim"))
+
+
+def dense_bipartite_top_k(vectors: DataFrame, gt: DataFrame, k: int = 10, threshold: float = 0.1,
+                          exclude_self: bool = False) -> DataFrame:
+    """The same for dense column vectors."""
+    marks = dense_marks(vectors)
+    pool = candidate_pool(marks, prefer=LAKE)
+    edges = dense_column_pairs(vectors, query_sides(gt, marks), pool, threshold)
+    return _rank_edges(edges, gt, pool, k, exclude_self)
+
+
+def _rank_edges(edges: DataFrame, gt: DataFrame, pool: DataFrame, k: int,
+                exclude_self: bool) -> DataFrame:
     if exclude_self:
         edges = edges.filter(F.col("query_table") != F.col("cand_table"))
     return pad_ranking(bipartite_candidates(edges, k), valid_queries(gt, pool), pool, k,

@@ -139,7 +139,7 @@ def pooled_top_k(vectors: DataFrame, gt: DataFrame, k: int = 10,
     return pad_ranking(cosine_pairs(vectors, queries), queries, pool, k, exclude_self)
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
+def unit_rows(vectors: pd.Series) -> np.ndarray:
     matrix = np.stack(vectors.to_list()).astype(float)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
@@ -177,7 +177,7 @@ def dense_top_k(queries: DataFrame, candidates: DataFrame, k: int = 10,
         if q.empty or c.empty:
             return pd.DataFrame(columns=["query_table", "cand_table", "score"])
         c = c.sort_values("c_name", ignore_index=True)
-        scores = np.round(_unit_rows(q["q_vec"]) @ _unit_rows(c["c_vec"]).T, DIGITS) + 0.0
+        scores = np.round(unit_rows(q["q_vec"]) @ unit_rows(c["c_vec"]).T, DIGITS) + 0.0
         q_names, c_names = q["q_name"].to_numpy(), c["c_name"].to_numpy()
         if exclude_self:
             scores[q_names[:, None] == c_names[None, :]] = -np.inf

@@ -3,6 +3,8 @@
 import itertools
 import time
 import traceback
+import uuid
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,7 +16,16 @@ from pyspark.sql import functions as F
 
 from tablekin.functions.frames import cut
 from tablekin.operators.metrics import metrics_at_k, metrics_per_query, ranking_detail
-from tablekin.plans.ranking import dense_vectors, rank_dense, rank_sparse, sparse_vectors
+from tablekin.operators.prep import keep_queries
+from tablekin.operators.search import sample_queries, valid_queries
+from tablekin.plans.ranking import (
+    dense_vectors,
+    full_params,
+    rank_dense,
+    rank_sparse,
+    sparse_vectors,
+)
+from tablekin.schema import QUERY
 from tablekin.sources.result_store import ResultStore
 from tablekin.sources.vector_store import VectorStore
 
@@ -111,39 +122,61 @@ def _vectors(cells: DataFrame, columns_meta: DataFrame, job: Job,
 
 def _ranking(vectors: DataFrame, gt: DataFrame, job: Job, k: int, exclude_self: bool) -> DataFrame:
     agg, threshold = job.eval_params["agg"], job.eval_params.get("threshold")
-    if job.method == "encoder":
-        return rank_dense(vectors, gt, agg, k, exclude_self)
-    return rank_sparse(vectors, gt, agg, k, exclude_self, threshold)
+    rank = rank_dense if job.method == "encoder" else rank_sparse
+    return rank(vectors, gt, agg, k, exclude_self, threshold)
+
+
+def asked(gt: DataFrame, columns_meta: DataFrame) -> DataFrame:
+    """The ground truth of the query tables; a lake table is no query because it is named as one."""
+    return keep_queries(gt, columns_meta.filter(F.col("side") == QUERY).select("table_name"))
+
+
+def _sampled(gt: DataFrame, vectors: DataFrame, n: int | None) -> DataFrame:
+    """The ground truth of n of the queries that have a vector."""
+    if n is None:
+        return gt
+    with_vector = valid_queries(gt, vectors.select("table_name").distinct())
+    return gt.join(F.broadcast(sample_queries(with_vector, n)), "query_table", "left_semi")
 
 
 def grid_metrics(cells: DataFrame, columns_meta: DataFrame, gt: DataFrame, jobs: list[Job],
-                 k: int = 10, exclude_self: bool = False,
-                 encoder: Callable | None = None) -> DataFrame:
-    """Mean metrics of all jobs, tagged with their ``params``; equal vectors are built once."""
+                 k: int = 10, exclude_self: bool = False, encoder: Callable | None = None,
+                 n_queries: int | None = None) -> DataFrame:
+    """Mean metrics of all jobs, tagged with their ``params``; equal vectors are built once.
+
+    Only query tables are asked, or ``n_queries`` of those that have vectors.
+    """
+    gt = asked(gt, columns_meta)
     built: dict[str, DataFrame] = {}
     parts = []
     for job in jobs:
-        key = job.method + param_hash(job.embedding_params)
+        key = job.method + param_hash(full_params(job.method, job.embedding_params, encoder))
         if key not in built:
             built[key] = cut(_vectors(cells, columns_meta, job, encoder))
-        ranked = _ranking(built[key], gt, job, k, exclude_self)
+        wanted = _sampled(gt, built[key], n_queries)
+        ranked = _ranking(built[key], wanted, job, k, exclude_self)
         tags = [F.lit(text) for pair in job.params().items() for text in pair]
-        parts.append(metrics_at_k(metrics_per_query(ranked, gt, k)).withColumn(
+        parts.append(metrics_at_k(metrics_per_query(ranked, wanted, k)).withColumn(
             "params", F.create_map(*tags)))
     return reduce(DataFrame.unionByName, parts)
 
 
 def run_jobs(spark: SparkSession, benchmark: str, cells: DataFrame, columns_meta: DataFrame,
              gt: DataFrame, jobs: list[Job], vectors: VectorStore, results: ResultStore,
-             k: int = 10, exclude_self: bool = False, encoder: Callable | None = None) -> None:
+             k: int = 10, exclude_self: bool = False, encoder: Callable | None = None,
+             n_queries: int | None = None) -> None:
     """Runs jobs one after another and stores a record of each, failed ones included.
 
-    Vectors are taken from the store if their parameters are known there, else built and
-    stored; building is the offline time, searching and scoring the online time.
+    Vectors are taken from the store if they are there for this benchmark, these parameters and
+    this encoder, else built and stored; building is the offline time, searching and scoring the
+    online time. A record that cannot be written is warned of and does not stop the others.
     """
+    gt = asked(gt, columns_meta)
+    run = uuid.uuid4().hex
     for job in jobs:
+        # The names of a record's fields and the words for its status.
         record: dict[str, Any] = {
-            "benchmark": benchmark, "method": job.method, "k": k, "exclude_self": exclude_self,
+            "run": run, "benchmark": benchmark, "method": job.method, "k": k, "exclude_self": exclude_self,
             "embedding_params": {k_: str(v) for k_, v in job.embedding_params.items()},
             "eval_params": {k_: str(v) for k_, v in job.eval_params.items()},
             "status": "started", "error": None, "traceback": None, "offline": None,
@@ -152,23 +185,31 @@ def run_jobs(spark: SparkSession, benchmark: str, cells: DataFrame, columns_meta
         metrics = detail = None
         try:
             started = time.time()
+            params = full_params(job.method, job.embedding_params, encoder)
             stored, reused = vectors.get_or_build(
-                job.method, job.embedding_params,
-                lambda: _vectors(cells, columns_meta, job, encoder))
+                benchmark, job.method, params, lambda: _vectors(cells, columns_meta, job, encoder))
             record["offline"] = 0.0 if reused else time.time() - started
-            record["vector_path"] = vectors.path(job.method, job.embedding_params)
+            record["vector_path"] = vectors.path(benchmark, job.method, params)
             record["status"] = "embeddings_loaded" if reused else "embeddings_generated"
             if job.eval_params["agg"] == "None" and "threshold" not in job.eval_params:
                 record["status"] = "evaluation_skipped"
                 record["error"] = "matching needs a threshold"
             else:
                 started = time.time()
-                ranked = cut(_ranking(stored, gt, job, k, exclude_self))
-                metrics = cut(metrics_at_k(metrics_per_query(ranked, gt, k)))
-                detail = ranking_detail(ranked, gt)
+                wanted = _sampled(gt, stored, n_queries)
+                ranked = cut(_ranking(stored, wanted, job, k, exclude_self))
+                if ranked.isEmpty():
+                    record["status"] = "no_valid_queries"
+                    record["error"] = "no query of the ground truth has a vector"
+                else:
+                    metrics = cut(metrics_at_k(metrics_per_query(ranked, wanted, k)))
+                    detail = ranking_detail(ranked, wanted)
+                    record["status"] = "completed"
                 record["online"] = time.time() - started
-                record["status"] = "completed"
         except Exception as error:  # one failed combination must not stop the others
             record["status"], record["error"] = "failed", str(error)
             record["traceback"] = traceback.format_exc()
-        results.append(spark, record, metrics, detail)
+        try:
+            results.append(spark, record, metrics, detail)
+        except Exception as error:
+            warnings.warn(f"no record of {results.run_id(record)}: {error}", stacklevel=2)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN_SCHEMA = """
-    benchmark string, method string, k int, exclude_self boolean,
+    run string, benchmark string, method string, k int, exclude_self boolean,
     embedding_params map<string,string>, eval_params map<string,string>,
     status string, error string, traceback string, offline double, online double,
     vector_path string
@@ -15,7 +15,11 @@ METRICS = "array<struct<cutoff: int, p: double, r: double, f1: double, map: doub
 
 
 class ResultStore:
-    """``runs`` has one record per combination, ``details`` one per run and query."""
+    """``runs`` has one record per combination, ``details`` one per run and query.
+
+    Details are written first, so a record that is there has all of them. ``run`` tells
+    repeated runs apart and is part of ``run_id``, as are k and ``exclude_self``.
+    """
 
     def __init__(self, root: str, fmt: str = "json"):
         self.root = root.rstrip("/")
@@ -32,17 +36,18 @@ class ResultStore:
             listed = metrics.agg(F.array_sort(F.collect_list(F.struct(
                 "cutoff", "p", "r", "f1", "map"))).alias("metrics"))
             row = row.crossJoin(listed)
-        row.write.mode("append").partitionBy("benchmark").format(self.fmt).save(f"{self.root}/runs")
         if detail is not None:
             detail.withColumn("run_id", F.lit(self.run_id(record))).withColumn(
                 "benchmark", F.lit(record["benchmark"])).write.mode("append").partitionBy(
                 "benchmark").format(self.fmt).save(f"{self.root}/details")
+        row.write.mode("append").partitionBy("benchmark").format(self.fmt).save(f"{self.root}/runs")
 
     @staticmethod
     def run_id(record: dict[str, Any]) -> str:
         parts = [f"{k}={v}" for name in ("embedding_params", "eval_params")
                  for k, v in sorted(record[name].items())]
-        return "_".join([record["method"], *parts])
+        return "_".join([record["method"], *parts, f"k={record['k']}",
+                         f"exclude_self={record['exclude_self']}", record["run"]])
 
     def runs(self, spark: SparkSession) -> DataFrame:
         return spark.read.format(self.fmt).load(f"{self.root}/runs")

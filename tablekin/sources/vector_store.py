@@ -1,4 +1,4 @@
-"""Vectors kept as Parquet by method and parameters, and used again for the same ones."""
+"""Vectors kept as Parquet by lake, method and parameters, and used again for the same ones."""
 
 from collections.abc import Callable
 from hashlib import md5
@@ -6,45 +6,56 @@ from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+PARAMS = "map<string,string>"
 
 
 class VectorStore:
-    """Folders ``method=<m>/param_hash=<h>``, inside them one per side.
+    """Folders ``lake=<l>/method=<m>/param_hash=<h>`` with ``vectors`` and a ``manifest``.
 
-    The parameters are columns of the data, so a folder says how it was made. A write that
-    does not finish leaves no committed file, and its folder is built again.
+    One lake's vectors are never taken for another's. The manifest names all parameters; it
+    says ``complete`` only after the vectors are written, and vectors without that are built
+    again.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def path(self, method: str, params: dict[str, Any]) -> str:
+    def path(self, lake: str, method: str, params: dict[str, Any]) -> str:
         text = str(sorted((key, str(value)) for key, value in params.items()))
-        return f"{self.root}/method={method}/param_hash={md5(text.encode()).hexdigest()}"
+        return (f"{self.root}/lake={md5(lake.encode()).hexdigest()}/method={method}/"
+                f"param_hash={md5(text.encode()).hexdigest()}")
+
+    def _declare(self, path: str, lake: str, params: dict[str, Any], state: str) -> None:
+        row = [(lake, state, {key: str(value) for key, value in params.items()})]
+        self.spark.createDataFrame(row, f"lake string, state string, params {PARAMS}").coalesce(
+            1).write.mode("overwrite").json(f"{path}/manifest")
 
-    def load(self, method: str, params: dict[str, Any]) -> DataFrame | None:
+    def load(self, lake: str, method: str, params: dict[str, Any]) -> DataFrame | None:
+        path = self.path(lake, method, params)
         try:
-            stored = self.spark.read.parquet(self.path(method, params))
+            declared = self.spark.read.schema("state string").json(f"{path}/manifest").first()
+            if declared is None or declared["state"] != "complete":
+                return None
+            return self.spark.read.parquet(f"{path}/vectors")
         except AnalysisException:
             return None
-        return stored.drop("params")
 
-    def save(self, vectors: DataFrame, method: str, params: dict[str, Any]) -> None:
-        tags = [F.lit(str(part)) for item in sorted(params.items()) for part in item]
-        described = vectors.withColumn(
-            "params", F.create_map(*tags) if tags else F.lit(None).cast("map<string,string>"))
-        described.write.mode("overwrite").partitionBy("side").parquet(self.path(method, params))
+    def save(self, vectors: DataFrame, lake: str, method: str, params: dict[str, Any]) -> None:
+        path = self.path(lake, method, params)
+        self._declare(path, lake, params, "started")
+        vectors.write.mode("overwrite").partitionBy("side").parquet(f"{path}/vectors")
+        self._declare(path, lake, params, "complete")
 
-    def get_or_build(self, method: str, params: dict[str, Any],
+    def get_or_build(self, lake: str, method: str, params: dict[str, Any],
                      build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
         """The stored vectors and whether they were there before."""
-        stored = self.load(method, params)
+        stored = self.load(lake, method, params)
         if stored is not None:
             return stored, True
-        self.save(build(), method, params)
-        built = self.load(method, params)
+        self.save(build(), lake, method, params)
+        built = self.load(lake, method, params)
         if built is None:
-            raise RuntimeError(f"vectors were not stored: {self.path(method, params)}")
+            raise RuntimeError(f"vectors were not stored: {self.path(lake, method, params)}")
         return built, False
