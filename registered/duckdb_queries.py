@@ -112,10 +112,8 @@ PARTS: dict[str, str] = {
     "stats": """SELECT m.*, coalesce(n_rows, 0) AS n_rows, coalesce(n_values, 0) AS n_values,
             all_int, all_num
         FROM meta m LEFT JOIN flags USING (side, table_name, col_pos)""",
-    "vote_sample": """SELECT side, table_name, col_pos, value_class FROM value_classes
-        WHERE value IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY side, table_name, col_pos
-            ORDER BY md5(col_name || row_id), row_id) <= 100""",
+    "voters": """SELECT side, table_name, col_pos, value_class FROM value_classes
+        WHERE value IS NOT NULL""",
     "votes": """SELECT side, table_name, col_pos, CASE
             WHEN 10 * max(n) >= 7 * sum(n) THEN
                 CASE WHEN arg_max(value_class, n) = 'null' THEN 'other'
@@ -123,7 +121,7 @@ PARTS: dict[str, str] = {
             WHEN bool_and(value_class IN ('integer', 'float', 'null')) THEN 'float'
             ELSE 'other' END AS vote
         FROM (SELECT side, table_name, col_pos, value_class, count(*) AS n
-              FROM vote_sample GROUP BY ALL) GROUP BY ALL""",
+              FROM voters GROUP BY ALL) GROUP BY ALL""",
     "types": """SELECT s.*, CASE
             WHEN n_rows = 0 THEN 'string'
             WHEN n_values = 0 THEN 'float'
@@ -158,6 +156,9 @@ PARTS: dict[str, str] = {
                 AS x
         FROM encoder_texts CROSS JOIN (SELECT unnest(range(64)) AS pos) p
         LEFT JOIN embedding_sums e USING (side, table_name, unit_id, pos)""",
+    "encoder_vec": """SELECT side, table_name, CAST(unit_id AS INTEGER) AS col_pos, CAST(pos AS INTEGER) AS dim,
+            x AS weight FROM embeddings_of_texts
+        UNION ALL SELECT side, table_name, CAST(unit_id AS INTEGER), -1, 0.0 FROM encoder_texts""",
     "doc_words": """SELECT doc_id, unnest(words) AS token, generate_subscripts(words, 1) AS pos
         FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), """ + WORD
                  + f"""), lambda w: w NOT IN ({STOP_LIST})) AS words FROM documents)""",
@@ -407,6 +408,7 @@ HASH_5 = _add_hash(5)
 RANKED = _add_search(HASH, "max", True)
 RANKED_ALL = {vec: _add_search(vec, "max", False) for vec in (HASH, "count_vec", "tfidf_vec")}
 MATCHED = _add_matching(HASH, False)
+MATCHED_ENCODER = _add_matching("encoder_vec", False)
 METRICS = _add_metrics(RANKED)
 
 
@@ -416,8 +418,15 @@ def _grid_sql() -> str:
         rankings = {"max": _add_search(vec, "max", True), "mean": _add_search(vec, "mean", True),
                     "None": _add_matching(vec, True)}
         for agg, ranking in rankings.items():
-            parts.append(f"SELECT {size} AS sample_size, '{agg}' AS agg, cutoff, {MEANS} "
+            parts.append(f"SELECT 'hash' AS method, {size} AS sample_size, '{agg}' AS agg, cutoff, {MEANS} "
                          f"FROM {_add_metrics(ranking)} GROUP BY cutoff")
+    for method, size, agg, ranking in (
+            ("count", 1000, "max", _add_search("count_vec", "max", True)),
+            ("tfidf", 1000, "max", _add_search("tfidf_vec", "max", True)),
+            ("encoder", 20, "mean", _add_search("encoder_vec", "mean", True)),
+            ("encoder", 20, "None", _add_matching("encoder_vec", True))):
+        parts.append(f"SELECT '{method}' AS method, {size} AS sample_size, '{agg}' AS agg, cutoff, {MEANS} "
+                     f"FROM {_add_metrics(ranking)} GROUP BY cutoff")
     return " UNION ALL ".join(parts)
 
 
@@ -426,6 +435,43 @@ def _tokens(pattern: str) -> str:
         unnest(regexp_extract_all(lower(text), {pattern})) AS token FROM documents) GROUP BY ALL"""
 
 
+# the given tables as they are: columns in order, with the kind of their type
+TYPED = {
+    "customer": "c_custkey:i c_name:t c_nationkey:i c_acctbal:f c_mktsegment:t",
+    "events": "event_id:i ts:d user_id:i event_type:t value:f props:t",
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f "
+                "l_tax:f l_returnflag:t l_linestatus:t l_shipdate:d",
+    "nation": "n_nationkey:i n_name:t n_regionkey:i",
+    "orders": "o_orderkey:i o_custkey:i o_orderstatus:t o_totalprice:f o_orderdate:d o_orderpriority:t",
+    "part": "p_partkey:i p_name:t p_brand:t p_type:t p_size:i p_retailprice:f",
+    "region": "r_regionkey:i r_name:t",
+    "supplier": "s_suppkey:i s_name:t s_nationkey:i s_acctbal:f",
+}
+SOURCE_TYPES = {"i": "integer", "f": "float", "t": "text", "d": "text"}
+
+
+def _typed_sql(types: bool) -> str:
+    parts = []
+    for table, columns in TYPED.items():
+        for pos, (name, kind) in enumerate(column.split(":") for column in columns.split()):
+            text = f"strftime({name}, '%Y-%m-%d %H:%M:%S')" if kind == "d" else name
+            if types:
+                no_gap = f"count({name}) = count(*)"
+                data_type = {"i": f"CASE WHEN {no_gap} THEN 'integer' ELSE 'float' END", "f": "'float'"}.get(
+                    kind, "'string'")
+                rest = f"count({name}) AS n_values, {data_type} AS data_type"
+            else:
+                number = kind in "if"
+                rest = f"""'{SOURCE_TYPES[kind]}' AS source_type, count(*) AS n_row_ids, count({name}) AS n_values,
+                    count(DISTINCT {text}) AS n_distinct,
+                    {f"round(sum(CAST({name} AS DOUBLE)), 2)" if number else "NULL::DOUBLE"} AS total,
+                    {"NULL::VARCHAR" if number else f"min({text})"} AS least,
+                    {"NULL::VARCHAR" if number else f"max({text})"} AS most"""
+            parts.append(f"SELECT '{table}' AS table_name, {pos} AS col_pos, '{name}' AS col_name, "
+                         f"count(*) AS n_rows, {rest} FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
 UNIT = "side, table_name, col_pos"
 ENCODED = """
     pooled AS (SELECT side, table_name, pos, avg(x) AS x FROM embeddings_of_texts GROUP BY ALL),
@@ -439,6 +485,20 @@ ENCODED = """
 
 FINAL: dict[str, str] = {
     "lake_cells": "SELECT * FROM cells",
+    "parquet_lake_cells": _typed_sql(False),
+    "parquet_column_types": _typed_sql(True),
+    "disambiguated_headers": """SELECT side, table_name, col_pos, CASE
+            WHEN name = '' THEN 'Unnamed: ' || col_pos
+            WHEN nth = 1 THEN name ELSE name || '.' || (nth - 1) END AS col_name
+        FROM (SELECT *, row_number() OVER (PARTITION BY side, table_name, name ORDER BY col_pos) AS nth
+              FROM (SELECT side, table_name, col_pos, CASE WHEN col_pos % 3 = 1 THEN ''
+                           ELSE split_part(table_name, '__', 1) END AS name FROM meta))""",
+    "empty_tables": """SELECT side, table_name, CAST(col_pos AS BIGINT) AS unit_id,
+            left(string_agg(value, ', ' ORDER BY rn), 2560) AS text
+        FROM distinct_20 WHERE table_name NOT LIKE 'customer%' AND col_name <> 's_name'
+        GROUP BY side, table_name, col_pos
+        UNION ALL SELECT side, table_name, -1::BIGINT, left(string_agg(col_name, ', ' ORDER BY col_pos), 2560)
+        FROM meta WHERE table_name NOT LIKE 'customer%' GROUP BY side, table_name""",
     "query_selection": """SELECT table_name, col_name, count(*) AS n FROM cells
         WHERE side = 'query' AND table_name IN (SELECT table_name FROM sides WHERE side = 'lake')
         GROUP BY ALL""",
@@ -522,6 +582,9 @@ FINAL: dict[str, str] = {
         round(sim, 6) AS sim FROM edges_{HASH}""",
     "bipartite_score": f"SELECT * FROM match_{HASH}",
     "bipartite_topk": f"SELECT * FROM {MATCHED}",
+    "dense_column_pairs": """SELECT query_table, query_col, cand_table, cand_col, round(sim, 6) AS sim
+        FROM edges_encoder_vec""",
+    "bipartite_topk_encoder": f"SELECT * FROM {MATCHED_ENCODER}",
     "valid_queries": f"""SELECT query_table, CAST(row_number() OVER (
             ORDER BY md5(query_table), query_table) <= 5 AS INTEGER) AS sampled
         FROM valid_{HASH}""",
@@ -531,11 +594,11 @@ FINAL: dict[str, str] = {
     "metrics_per_query": f"""SELECT query_table, cutoff, round(p, 6) AS p, round(r, 6) AS r,
         round(f1, 6) AS f1, round(ap, 6) AS ap FROM {METRICS}""",
     "metrics_at_k": f"SELECT cutoff, {MEANS} FROM {METRICS} GROUP BY cutoff",
-    "ranking_detail": f"""SELECT query_table, candidates, ground_truth FROM (
-            SELECT query_table, string_agg(cand_table, '|' ORDER BY rank) AS candidates
-            FROM {RANKED} GROUP BY ALL)
-        JOIN (SELECT query_table, string_agg(cand_table, '|' ORDER BY cand_table) AS ground_truth
-              FROM gt GROUP BY ALL) USING (query_table)""",
+    "ranking_detail": f"""SELECT query_table, 'candidates' AS list, rank AS position,
+            cand_table AS table_name FROM {RANKED}
+        UNION ALL SELECT query_table, 'ground_truth', CAST(row_number() OVER (
+            PARTITION BY query_table ORDER BY cand_table) AS INTEGER), cand_table
+        FROM gt WHERE query_table IN (SELECT query_table FROM {RANKED})""",
     "overlap_pairs": "SELECT * FROM overlap_edges",
     "candidate_resolution": "SELECT * FROM resolved",
     "typed_value_sets": "SELECT * FROM value_sets",

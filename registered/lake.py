@@ -105,14 +105,6 @@ class CarvedLake:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _spread(self, base: Base) -> DataFrame:
-        """The base table; one of fewer files than there are cores is spread over them."""
-        table = self.table(base.name)
-        cores = self.spark.sparkContext.defaultParallelism
-        if table.rdd.getNumPartitions() < cores and base.query_only:
-            table = table.repartition(cores, F.expr(base.row_id))
-        return table
-
     def _union(self, frames: list[DataFrame]) -> DataFrame:
         union = frames[0]
         for frame in frames[1:]:
@@ -126,7 +118,7 @@ class CarvedLake:
         names = list(base.columns)
         position = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("col_name"))
         return (
-            self._spread(base)
+            self.table(base.name)
             .select(F.explode(_sides(base)).alias("side"),
                     self._table_name(base).alias("table_name"),
                     F.expr(base.row_id).cast("bigint").alias("row_id"),

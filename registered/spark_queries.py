@@ -10,6 +10,7 @@ from registered.lake import CarvedLake, carved_lake
 from tablekin.functions import vectors as V
 from tablekin.functions.encoders import HashedWords, encode_texts
 from tablekin.functions.frames import cut
+from tablekin.functions.headers import disambiguate_headers
 from tablekin.functions.text import (
     english_stop_words,
     ngrams,
@@ -33,6 +34,7 @@ from tablekin.plans import experiments, ranking
 from tablekin.plans.overlap_report import OverlapReport
 from tablekin.plans.profile_report import ProfileReport
 from tablekin.schema import COLUMN, LAKE, QUERY, TABLE
+from tablekin.sources.frames_lake import read_parquet_lake
 
 K = 10
 N_FEATURES = 4096
@@ -43,6 +45,7 @@ SPARSE = {
     "tfidf": {"sample_size": 1000, "max_features": N_FEATURES, "ngram_range": (1, 2),
               "include_column_names": False},
 }
+TYPED_TABLES = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
 ENCODER = {"sample_size": 20, "orientation": "vertical", "include_names": True,
            "names_only": False, "deduplicate": True}
 
@@ -130,6 +133,47 @@ def lake_cells(w: Stored) -> DataFrame:
     return w.lake.cells
 
 
+def _parquet_lake(w: Stored) -> tuple[DataFrame, DataFrame]:
+    """Given tables as they are, with their types, all rows and all columns."""
+    return read_parquet_lake(w.lake.spark, {
+        name: f"{w.lake.sf_dir}/{name}.parquet" for name in TYPED_TABLES}, LAKE)
+
+
+def parquet_lake_cells(w: Stored) -> DataFrame:
+    """What the reader makes of each column: rows, values, different values, and their sum or extremes."""
+    cells, meta = _parquet_lake(w)
+    number = F.col("value").try_cast("double")
+    per_column = cells.groupBy(*COLUMN, "col_name").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("row_id").alias("n_row_ids"), F.count("value").alias("n_values"),
+        F.countDistinct("value").alias("n_distinct"), F.round(F.sum(number), 2).alias("total"),
+        F.min("value").alias("least"), F.max("value").alias("most"))
+    typed = meta.join(per_column, [*COLUMN, "col_name"])
+    is_text = F.col("source_type") == "text"
+    return typed.select(
+        "table_name", "col_pos", "col_name", "source_type", "n_rows", "n_row_ids", "n_values", "n_distinct",
+        F.when(~is_text, F.col("total")).alias("total"), F.when(is_text, F.col("least")).alias("least"),
+        F.when(is_text, F.col("most")).alias("most"))
+
+
+def parquet_column_types(w: Stored) -> DataFrame:
+    return typing.column_types(*_parquet_lake(w)).select(
+        "table_name", "col_pos", "col_name", "n_rows", "n_values", "data_type")
+
+
+def disambiguated_headers(w: Stored) -> DataFrame:
+    """Headers of the lake after every third name was lost and the others became one name."""
+    name = F.when(F.col("col_pos") % 3 == 1, "").otherwise(F.substring_index("table_name", "__", 1))
+    return disambiguate_headers(w.lake.meta.withColumn("col_name", name)).select(*COLUMN, "col_name")
+
+
+def empty_tables(w: Stored) -> DataFrame:
+    """Encoder texts where the tables of customers have no rows, nor the suppliers any names."""
+    left = w.lake.cells.filter(~F.col("table_name").startswith("customer__")).withColumn(
+        "value", F.when(F.col("col_name") != "s_name", F.col("value")))
+    return texts.encoder_column_texts(left, w.lake.meta, 20, include_names=False).unionByName(
+        texts.header_texts(left, w.lake.meta).withColumn("unit_id", F.lit(-1).cast("long")))
+
+
 def query_selection(w: Stored) -> DataFrame:
     """Cells per column of the query tables that are lake tables too, asked for by file name."""
     names = w.lake.meta.filter(F.col("side") == LAKE).select(
@@ -333,6 +377,21 @@ def bipartite_topk(w: Stored) -> DataFrame:
     return matching.bipartite_top_k(w.hash, w.lake.gt, K, 0.1)
 
 
+def _encoded(w: Stored) -> DataFrame:
+    return cut(ranking.dense_vectors(w.lake.cells, w.lake.meta, ENCODER))
+
+
+def dense_column_pairs(w: Stored) -> DataFrame:
+    vectors = _encoded(w)
+    marks = matching.dense_marks(vectors)
+    return _round(matching.dense_column_pairs(
+        vectors, matching.query_sides(w.lake.gt, marks), search.candidate_pool(marks, LAKE), 0.1), "sim")
+
+
+def bipartite_topk_encoder(w: Stored) -> DataFrame:
+    return ranking.rank_dense(_encoded(w), w.lake.gt, "None", K, threshold=0.1)
+
+
 def valid_queries(w: Stored) -> DataFrame:
     """Ground-truth queries with a vector, numbered in sampling order."""
     queries = search.valid_queries(w.lake.gt, search.pool_names(w.hash))
@@ -364,9 +423,7 @@ def metrics_at_k(w: Stored) -> DataFrame:
 
 
 def ranking_detail(w: Stored) -> DataFrame:
-    detail = metrics.ranking_detail(w.ranked, w.lake.gt)
-    return detail.select("query_table", F.array_join("candidates", "|").alias("candidates"),
-                         F.array_join("ground_truth", "|").alias("ground_truth"))
+    return metrics.ranking_detail(w.ranked, w.lake.gt)
 
 
 # overlap
@@ -462,7 +519,7 @@ def profile_unique_columns(w: Stored) -> DataFrame:
 
 
 def profile_combined(w: Stored) -> DataFrame:
-    return profile.profile_combined(profile.without_duplicates(w.stats))
+    return profile.profile_combined(cut(profile.without_duplicates(w.stats)))
 
 
 # preparation and experiments
@@ -490,16 +547,26 @@ def prep_sample_queries(w: Stored) -> DataFrame:
 
 
 def grid_metrics(w: Stored) -> DataFrame:
-    """Mean metrics of every valid combination of a small grid."""
+    """Mean metrics of every valid combination of a small grid over all methods.
+
+    The ground truth also names a lake table as a query, which is no query.
+    """
     grid = {
         "hash": {"embedding_params": {"sample_size": [5, 1000], "n_features": [N_FEATURES],
                                       "include_column_names": [False]},
                  "eval_params": {"agg": ["max", "mean", "None"], "threshold": [0.1]}},
+        **{method: {"embedding_params": {name: [value] for name, value in SPARSE[method].items()},
+                    "eval_params": {"agg": ["max"]}} for method in ("count", "tfidf")},
+        "encoder": {"embedding_params": {name: [value] for name, value in ENCODER.items()},
+                    "eval_params": {"agg": ["mean", "None"], "threshold": [0.1]}},
     }
     jobs = experiments.expand_grid(grid)
-    result = experiments.grid_metrics(w.lake.cells, w.lake.meta, w.lake.gt, jobs, K,
+    lake_only = w.lake.meta.filter(F.col("table_name") == "nation__all").select(
+        F.col("table_name").alias("query_table"), F.lit("region__all").alias("cand_table")).distinct()
+    result = experiments.grid_metrics(w.lake.cells, w.lake.meta, w.lake.gt.unionByName(lake_only), jobs, K,
                                       exclude_self=True)
     return _round(result.select(
+        F.col("params")["method"].alias("method"),
         F.col("params")["sample_size"].cast("int").alias("sample_size"),
         F.col("params")["agg"].alias("agg"), "cutoff", "p", "r", "f1", "map"),
         "p", "r", "f1", "map")
@@ -507,6 +574,10 @@ def grid_metrics(w: Stored) -> DataFrame:
 
 QUERIES: dict[str, Callable[[Stored], DataFrame]] = {
     "lake_cells": lake_cells,
+    "parquet_lake_cells": parquet_lake_cells,
+    "parquet_column_types": parquet_column_types,
+    "disambiguated_headers": disambiguated_headers,
+    "empty_tables": empty_tables,
     "query_selection": query_selection,
     "ground_truth_edges": ground_truth_edges,
     "value_type_histogram": value_type_histogram,
@@ -550,6 +621,8 @@ QUERIES: dict[str, Callable[[Stored], DataFrame]] = {
     "column_pair_similarity": column_pair_similarity,
     "bipartite_score": bipartite_score,
     "bipartite_topk": bipartite_topk,
+    "dense_column_pairs": dense_column_pairs,
+    "bipartite_topk_encoder": bipartite_topk_encoder,
     "valid_queries": valid_queries,
     "gt_filtered": gt_filtered,
     "running_hits": running_hits,

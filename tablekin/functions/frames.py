@@ -7,27 +7,19 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 BROADCAST_ROWS = 500_000
-# a few hundred map tasks of the default size
-UNSALTED_BYTES = 32 * 1024**3
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan; nothing is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
                     spread: list[str], rank: str = "rn", salts: int = SALTS) -> DataFrame:
     """The first ``n`` rows of each group, numbered from 1 in ``rank``.
 
-    Up to the window-group-limit threshold Spark keeps only ``n`` rows of a group in each map
-    task, so a group reaches its own task as at most ``n`` rows per map task. Where the input
-    is too large for that to be little, every group is first cut into ``salts`` parts by the
-    ``spread`` columns, and only the first ``n`` rows of each part meet. The result is exact
-    either way; ``salts=1`` is for groups known to be small.
+    Every group is first cut into ``salts`` parts by the ``spread`` columns, and only the first
+    ``n`` rows of each part meet. So a group that holds most rows is ranked by many tasks, with
+    any session settings; where Spark also limits window groups in map tasks, less still is
+    shuffled. ``salts=1`` is for groups known to be small.
     """
     by_group = Window.partitionBy(*keys).orderBy(*order)
-    if salts > 1 and estimated_bytes(df) > UNSALTED_BYTES:
+    if salts > 1:
         by_part = Window.partitionBy(*keys, "_part").orderBy(*order)
         df = (
             df.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(salts)))

@@ -58,12 +58,16 @@ def metrics_at_k(per_query: DataFrame, keys: list[str] | None = None) -> DataFra
 
 
 def ranking_detail(rankings: DataFrame, gt: DataFrame) -> DataFrame:
-    """Per query its ranked tables (at most k) and its ground truth (sorted)."""
-    ranked = rankings.groupBy("query_table").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "cand_table"))).alias("_ranked"))
-    truth = gt.groupBy("query_table").agg(
-        F.array_sort(F.collect_set("cand_table")).alias("ground_truth"))
-    return ranked.join(truth, "query_table").select(
-        "query_table",
-        F.transform("_ranked", lambda item: item["cand_table"]).alias("candidates"),
-        "ground_truth")
+    """``query_table, list, position, table_name``: the ranked tables of every ranked query
+    (``candidates``) and its ground truth in name order (``ground_truth``), a row for each."""
+    ranked = rankings.select(
+        "query_table", F.lit("candidates").alias("list"), F.col("rank").cast("int").alias("position"),
+        F.col("cand_table").alias("table_name"))
+    in_order = Window.partitionBy("query_table").orderBy("cand_table")
+    truth = (
+        gt.filter(F.col("cand_table").isNotNull()).distinct()
+        .join(rankings.select("query_table").distinct(), "query_table", "left_semi")
+        .select("query_table", F.lit("ground_truth").alias("list"),
+                F.row_number().over(in_order).alias("position"), F.col("cand_table").alias("table_name"))
+    )
+    return ranked.unionByName(truth)

@@ -56,14 +56,14 @@ def typed_value_sets(cells: DataFrame, types: DataFrame, n_columns: int) -> Data
 
     Text gives its words, integers their value, floats their value to 8 decimals, anything
     else the raw text; numeric columns that do not parse give words. Numbers of equal value
-    share a key, and never with a text. Values are made distinct before they meet the type
-    of their column, which also spreads a column that holds most cells over all tasks.
+    share a key, and never with a text. Cells meet the type of their column where they are read;
+    keys are made distinct there first, so one small shuffle is all.
     """
-    values = cells.filter(F.col("value").isNotNull()).select(*COLUMN, "value").distinct()
+    values = cells.filter(F.col("value").isNotNull()).select(*COLUMN, "value", "row_id")
     columns = types.select(
         *COLUMN, "data_type",
         (F.col("data_type").isin("integer", "float") & ~_parses(F.col("data_type"))).alias("_words"))
-    typed = join_small(values, columns, COLUMN, n_columns, spread=["value"])
+    typed = join_small(values, columns, COLUMN, n_columns, spread=["row_id"])
     value, data_type = F.col("value"), F.col("data_type")
     as_words = F.col("_words") | (data_type == "string")
     keys = (

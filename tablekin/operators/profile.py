@@ -69,7 +69,11 @@ def profile_unique_columns(columns: DataFrame) -> DataFrame:
 
 
 def profile_combined(columns: DataFrame) -> DataFrame:
-    """One row of totals over both sides."""
-    tables = table_sizes(columns)
+    """One row of totals over both sides; ``columns`` is read twice, so stored or cut."""
+    sizes = table_sizes(columns).agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum("n_columns"), F.lit(0)).alias("total_columns"),
+        F.coalesce(F.sum(F.col("n_rows") * F.col("n_columns")), F.lit(0)).alias("total_cells"),
+        F.coalesce(F.sum("n_missing"), F.lit(0)).alias("missing"))
     unique = columns.select("col_name").distinct().agg(F.count("*").alias("unique_columns"))
-    return profile_sizes(tables, []).crossJoin(profile_missing(tables, [])).crossJoin(unique)
+    return sizes.withColumn("missing_pct", percent(F.col("missing"), F.col("total_cells"))).crossJoin(unique)

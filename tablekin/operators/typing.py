@@ -3,14 +3,12 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.functions.frames import BROADCAST_ROWS, cut
 from tablekin.functions.values import as_double, as_long, is_uint64, value_class
-from tablekin.operators.sampling import column_sample
 from tablekin.schema import COLUMN
 
-VOTE_SAMPLE = 100
 # in percent, so that the comparison stays in integers
 VOTE_SHARE = 70
+CLASSES = ["integer", "float", "string", "other", "null"]
 
 
 def value_class_histogram(cells: DataFrame) -> DataFrame:
@@ -20,22 +18,23 @@ def value_class_histogram(cells: DataFrame) -> DataFrame:
 
 
 def column_stats(cells: DataFrame, columns_meta: DataFrame) -> DataFrame:
-    """Rows, missing cells and numeric flags of every column, in one pass over the cells.
+    """Rows, missing cells, numeric flags and values per class of every column, in one pass.
 
     The flags ignore missing cells. Columns of tables without rows have ``n_rows`` 0.
     """
-    value = F.col("value")
+    value, own = F.col("value"), F.col("_class")
     filled = value.isNotNull()
 
     def all_filled(test: Column) -> Column:
         return F.every(F.when(filled, test))
 
-    per_column = cells.groupBy(*COLUMN).agg(
+    per_column = cells.withColumn("_class", F.when(filled, value_class(value))).groupBy(*COLUMN).agg(
         F.count("*").alias("n_rows"),
         F.count("value").alias("n_values"),
         all_filled(as_long(value).isNotNull()).alias("all_long"),
         all_filled(is_uint64(value)).alias("all_uint64"),
         all_filled(as_double(value).isNotNull()).alias("all_double"),
+        *[F.count_if(own == name).alias(f"n_{name}") for name in CLASSES],
     )
     return (
         columns_meta.join(per_column, COLUMN, "left")
@@ -44,53 +43,30 @@ def column_stats(cells: DataFrame, columns_meta: DataFrame) -> DataFrame:
     )
 
 
-def sample_vote(cells: DataFrame, n: int = VOTE_SAMPLE) -> DataFrame:
-    """Per column the class that wins among a sample of its values.
+def vote() -> Column:
+    """The class that wins among all values of a column (``column_stats``).
 
-    A class with 70 % of the sample wins, where blank means other; a mix of numbers and
+    A class with 70 % of the values wins, where blank means other; a mix of numbers and
     blanks is float; anything else is other. Equal counts cannot reach 70 %, so ties do
     not matter.
     """
-    per_class = (
-        column_sample(cells, n)
-        .groupBy(*COLUMN, value_class(F.col("value")).alias("value_class"))
-        .agg(F.count("*").alias("n"))
-    )
-    numeric = F.col("value_class").isin("integer", "float", "null")
-    votes = per_class.groupBy(*COLUMN).agg(
-        F.max(F.struct("n", "value_class")).alias("top"),
-        F.sum("n").alias("n_sampled"), F.every(numeric).alias("all_numeric"))
-    top = F.col("top.value_class")
-    return votes.select(
-        *COLUMN,
-        F.when(F.col("top.n") * 100 >= F.col("n_sampled") * VOTE_SHARE,
-               F.when(top == "null", "other").otherwise(top))
-        .when(F.col("all_numeric"), "float").otherwise("other").alias("vote"))
-
-
-def _needs_vote() -> Column:
-    """Text with gaps; columns of typed sources and numbers are clear without a vote."""
-    return (
-        (F.col("source_type") == "text") & (F.col("n_values") > 0)
-        & (F.col("n_values") < F.col("n_rows")) & ~F.col("all_double")
-    )
+    out = F.when((F.col("n_string") == 0) & (F.col("n_other") == 0), "float").otherwise("other")
+    for name in CLASSES:
+        wins = F.col(f"n_{name}") * 100 >= F.col("n_values") * VOTE_SHARE
+        out = F.when(wins, "other" if name == "null" else name).otherwise(out)
+    return out
 
 
 def column_types(cells: DataFrame, columns_meta: DataFrame,
                  stats: DataFrame | None = None) -> DataFrame:
-    """``data_type`` of every column with its row and value counts.
+    """``data_type`` of every column with its row and value counts, from one scan of the cells.
 
     Whole numbers without gaps are integer, other numbers float, text without gaps string;
-    text with gaps goes by the vote. A column of a typed source (``source_type`` integer or
-    float) skips the text rules. Columns without values are float, without rows string.
-
-    Only columns that need a vote are sampled, unless they are too many to broadcast; then
-    all columns are, which is cheaper than to shuffle the cells.
+    text with gaps goes by the vote of all its values. A column of a typed source
+    (``source_type`` integer or float) skips the text rules. Columns without values are float,
+    without rows string.
     """
-    stats = cut(column_stats(cells, columns_meta) if stats is None else stats)
-    voters = stats.filter(_needs_vote()).select(*COLUMN)
-    if voters.count() <= BROADCAST_ROWS:
-        cells = cells.join(F.broadcast(voters), COLUMN, "left_semi")
+    stats = column_stats(cells, columns_meta) if stats is None else stats
     no_gap = F.col("n_values") == F.col("n_rows")
     source = F.col("source_type")
     data_type = (
@@ -101,9 +77,9 @@ def column_types(cells: DataFrame, columns_meta: DataFrame,
         .when(no_gap & (F.col("all_long") | F.col("all_uint64")), "integer")
         .when(F.col("all_double"), "float")
         .when(no_gap, "string")
-        .otherwise(F.coalesce("vote", F.lit("other")))
+        .otherwise(vote())
     )
-    return stats.join(sample_vote(cells), COLUMN, "left").select(
+    return stats.select(
         *COLUMN, "col_name", "n_rows", "n_values", data_type.alias("data_type"),
         "all_long", "all_uint64", "all_double")
 

@@ -63,7 +63,8 @@ def test_runs_are_recorded_and_vectors_reused(spark, lake, tmp_path):
     assert [m["p"] for m in runs[("hash", "max")]["metrics"]] == [1.0, 0.5]
     assert "median" in runs[("hash", "median")]["error"]
     details = spark.read.json(f"{tmp_path}/r/details")
-    assert details.count() == 4
+    assert details.select("run_id").distinct().count() == 4
+    assert details.filter("list = 'ground_truth'").count() == 4
     full = full_params("hash", hashed)
     loaded = vectors.load("b", "hash", full)
     assert loaded is not None and set(loaded.columns) == {

@@ -35,8 +35,10 @@ def test_means_and_hits(frames):
 
 
 def test_detail(frames):
-    (row,) = ranking_detail(*frames).collect()
-    assert row["candidates"] == ["b", "x", "c", "y"] and row["ground_truth"] == ["a", "b", "c"]
+    told = sorted((r["list"], r["position"], r["table_name"]) for r in ranking_detail(*frames).collect())
+    assert [name for kind, _, name in told if kind == "candidates"] == ["b", "x", "c", "y"]
+    assert [name for kind, _, name in told if kind == "ground_truth"] == ["a", "b", "c"]
+    assert {position for _, position, _ in told} == {1, 2, 3, 4}
 
 
 def test_query_without_relevant_tables_scores_zero(spark, frames):
