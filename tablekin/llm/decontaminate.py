@@ -20,11 +20,13 @@ WINDOW = 10
 # windows of benchmark items in one broadcast table, some 200 MB at most; more take more scans
 BLOCK_WINDOWS = 1_000_000
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# the same in texts whose capitals are still there
+RAW_BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def word_array(text: Column) -> Column:
-    joined = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BETWEEN_WORDS, " "))
+def word_array(text: Column, between: str = BETWEEN_WORDS) -> Column:
+    joined = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), between, " "))
     return F.filter(F.split(joined, " "), lambda word: word != "")
 
 
@@ -126,7 +128,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     rows = keyed(docs, "text")
     hits = find_hits(rows, benchmark, window).filter(F.size("spans") > 0).select(KEY, "spans")
     text = F.coalesce(F.col("text"), F.lit(""))
-    words, between = word_array(text), F.split(text, WORD)
+    words, between = word_array(text, RAW_BETWEEN_WORDS), F.split(text, RAW_WORD)
     kept = F.transform(words, lambda word, i: F.when(
         F.exists("spans", lambda s: (i >= s["pos"]) & (i < s["pos"] + s["length"])), F.lit("")
     ).otherwise(F.concat(word, F.get(between, i + 1))))
