@@ -3,7 +3,6 @@
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,89 +13,66 @@ from tablekin.functions.assignment import best_alignment, edge_matrix, upper_bou
 from tablekin.operators.search import (
     CANDIDATE_BLOCK,
     DIGITS,
-    QUERY_BLOCK,
+    SPARSE_BLOCK,
+    block_pairs,
     candidate_pool,
+    entry_lists,
+    entry_products,
     pad_ranking,
-    query_blocks,
-    unit_rows,
+    unit_products,
     valid_queries,
 )
-from tablekin.schema import LAKE, MARK, QUERY, TABLE
+from tablekin.schema import COLUMN, LAKE, MARK, QUERY, TABLE
 
+EDGES = "query_table string, query_col int, cand_table string, cand_col int, sim double"
 PAIR_SCORES = "query_table string, cand_table string, score double"
 
 
+def _above(products, threshold: float):
+    def pairs(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        sims = products(q, c)
+        row, col = np.nonzero(sims > threshold)
+        return pd.DataFrame({
+            "query_table": q["query_table"].to_numpy()[row], "query_col": q["query_col"].to_numpy()[row],
+            "cand_table": c["cand_table"].to_numpy()[col], "cand_col": c["cand_col"].to_numpy()[col],
+            "sim": sims[row, col]})
+
+    return pairs
+
+
+def _column_pairs(vectors: DataFrame, column: str, values: list[str], queries: DataFrame, pool: DataFrame,
+                  products, c_size: int, threshold: float) -> DataFrame:
+    if threshold < 0:
+        raise ValueError("what has no edge would score more than some that have one")
+    named = vectors.withColumn("_col", F.col(column).cast("int"))
+    own = named.join(queries.withColumnRenamed("query_table", "table_name"), ["side", "table_name"]).select(
+        F.col("table_name").alias("query_table"), F.col("_col").alias("query_col"), *values)
+    others = named.join(pool, ["side", "table_name"]).select(
+        F.col("table_name").alias("cand_table"), F.col("_col").alias("cand_col"), *values)
+    return block_pairs(own, others, ["query_table", "query_col"], ["cand_table", "cand_col"], values, c_size,
+                       _above(products, threshold), EDGES)
+
+
 def column_pair_similarity(vectors: DataFrame, queries: DataFrame, pool: DataFrame,
                            threshold: float = 0.1) -> DataFrame:
     """Column pairs with cosine above ``threshold`` (>= 0): the edges of each table pair.
 
     ``vectors`` have unit length. ``queries`` is ``query_table, side``, ``pool`` is
-    ``table_name, side``; the query columns are broadcast block by block, and the
-    candidates, partitioned by column, stay in place until only pairs above the threshold
-    are left.
+    ``table_name, side``. Blocks of query columns are multiplied with blocks of candidate
+    columns, and only pairs above the threshold leave a task.
     """
-    if threshold < 0:
-        raise ValueError("pairs without a common entry never reach a negative threshold")
-    entries = vectors.filter(F.col("dim") != MARK)
-    query_columns = entries.join(
-        queries.withColumnRenamed("query_table", "table_name"), ["side", "table_name"]
-    ).select(F.col("table_name").alias("query_table"), F.col("col_pos").alias("query_col"),
-             "dim", F.col("weight").alias("_qw"))
-    candidates = entries.join(pool, ["side", "table_name"]).select(
-        F.col("table_name").alias("cand_table"), F.col("col_pos").alias("cand_col"),
-        "dim", "weight").repartition("cand_table", "cand_col")
-
-    parts = [
-        candidates.join(F.broadcast(block), "dim")
-        .groupBy("query_table", "query_col", "cand_table", "cand_col")
-        .agg(F.sum(F.col("weight") * F.col("_qw")).alias("sim"))
-        .filter(F.col("sim") > threshold)
-        for block in query_blocks(query_columns, ["query_table", "query_col"])
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return _column_pairs(entry_lists(vectors, COLUMN), "col_pos", ["dims", "weights"], queries, pool,
+                         entry_products, SPARSE_BLOCK, threshold)
 
 
 def dense_column_pairs(vectors: DataFrame, queries: DataFrame, pool: DataFrame,
                        threshold: float = 0.1) -> DataFrame:
     """The same for dense vectors: ``side, table_name, unit_id, vec``, one per column.
 
-    Columns are cut into blocks by table name and column; blocks of query columns meet blocks of
-    candidate columns in one matrix product, which keeps what is above the threshold. Cosines
-    below it, negative ones included, leave no edge, and a column without length is like none.
+    Cosines below the threshold, negative ones included, leave no edge, and a column without
+    length is like none.
     """
-    if threshold < 0:
-        raise ValueError("what has no edge would score more than some that have one")
-    own = vectors.join(queries.withColumnRenamed("query_table", "table_name"), ["side", "table_name"])
-    others = vectors.join(pool, ["side", "table_name"])
-    q_blocks = max(1, -(-own.count() // QUERY_BLOCK))
-    c_blocks = max(8, -(-others.count() // CANDIDATE_BLOCK))
-
-    def block(n: int):
-        return F.pmod(F.xxhash64("table_name", "unit_id"), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def side(frame: DataFrame, letter: str, n: int, other: str, m: int) -> DataFrame:
-        # fresh names: both sides come from the same frame
-        return frame.select(
-            F.col("table_name").alias(f"{letter}_table"), F.col("unit_id").cast("int").alias(f"{letter}_col"),
-            F.col("vec").alias(f"{letter}_vec"), block(n).alias(f"{letter}b"), every(m).alias(f"{other}b"))
-
-    def pairs(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_table", "query_col", "cand_table", "cand_col", "sim"]
-        if q.empty or c.empty:
-            return pd.DataFrame(columns=names)
-        sims = unit_rows(q["q_vec"]) @ unit_rows(c["c_vec"]).T
-        row, col = np.nonzero(sims > threshold)
-        q, c = q.iloc[row], c.iloc[col]
-        return pd.DataFrame(dict(zip(names, [
-            q["q_table"].to_numpy(), q["q_col"].to_numpy(), c["c_table"].to_numpy(),
-            c["c_col"].to_numpy(), sims[row, col]])))
-
-    return side(own, "q", q_blocks, "c", c_blocks).groupBy("qb", "cb").cogroup(
-        side(others, "c", c_blocks, "q", q_blocks).groupBy("qb", "cb")).applyInPandas(
-        pairs, "query_table string, query_col int, cand_table string, cand_col int, sim double")
+    return _column_pairs(vectors, "unit_id", ["vec"], queries, pool, unit_products, CANDIDATE_BLOCK, threshold)
 
 
 def _pair_edges(edges: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def test_unsolved_pairs_are_never_among_the_best(spark):
 
 
 def test_blocks_do_not_change_edges(spark, monkeypatch):
-    from tablekin.operators import search
+    from tablekin.operators import matching, search
     from tablekin.operators.matching import column_pair_similarity
     rng = np.random.default_rng(4)
     entries = []
@@ -71,7 +71,9 @@ def test_blocks_do_not_change_edges(spark, monkeypatch):
                       for r in column_pair_similarity(vectors, queries, pool, 0.1).collect())
 
     once = found()
-    monkeypatch.setattr(search, "BLOCK_ENTRIES", 25)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(search, "DIMENSIONS", 3)
+    monkeypatch.setattr(matching, "SPARSE_BLOCK", 4)
     assert found() == once and len(once) > 36
     with pytest.raises(ValueError):
         column_pair_similarity(vectors, queries, pool, -0.5)

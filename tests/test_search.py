@@ -66,6 +66,16 @@ def test_blocks_and_partitions_do_not_matter(spark, monkeypatch):
         assert row["score"] == pytest.approx(
             cosines[int(row["query_table"][1:]), int(row["cand_table"][1:])], abs=1e-6)
     assert once.count() == int((cosines > 0).sum())
+    whole = search.pooled_top_k(pooled, gt, 7, True)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(search, "SPARSE_BLOCK", 4)
+    monkeypatch.setattr(search, "DIMENSIONS", 7)
+    small = search.pooled_top_k(pooled, gt, 7, True)
+    assert rows(small, *small.columns) == rows(whole, *whole.columns)
+    scores = np.round(cosines, 6)
+    best = {(f"t{q:02d}", f"t{c:02d}", rank + 1) for q in range(40) for rank, c in enumerate(
+        sorted((c for c in range(40) if c != q), key=lambda c: (-scores[q, c], c))[:7])}
+    assert {(r["query_table"], r["cand_table"], r["rank"]) for r in whole.collect()} == best
 
 
 def test_blocks_bound_what_is_broadcast(spark, monkeypatch):
