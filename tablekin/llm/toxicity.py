@@ -38,6 +38,7 @@ ROUNDS, EPOCHS, BATCH, RATE = 3, 3, 128, 0.05
 RARE = 4  # log odds of what is seen in so many documents are halved
 CLEAN_WINDOWS = 3  # windows of clean documents chosen at random, per document
 GROUP = 2_048  # windows scored at once
+GROUP_WORDS = 200_000  # words scored at once
 
 
 def run_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +226,7 @@ class Scorer:
             if words is not None:
                 group.append(words)
                 size += len(words)
-            if group and (words is None or size >= 200_000):
+            if group and (words is None or size >= GROUP_WORDS):
                 owner, _, logits = self.window_logits(group)
                 best = np.full(len(group), -np.inf)
                 np.maximum.at(best, owner, logits)
@@ -359,10 +360,18 @@ def scored(rows: DataFrame, network: Network | None) -> DataFrame:
     def run(batches):
         scorer = Scorer(shared.value) if shared.value is not None else None
         for batch in batches:
-            texts = [words_of(text.as_py()) for text in batch.column("text")]
-            made = scorer.probabilities(texts) if scorer else np.zeros(len(texts))
+            parts, group, size = [np.zeros(0)], [], 0
+            # few texts are held as words at a time
+            for text in batch.column("text"):
+                group.append(words_of(text.as_py()))
+                size += len(group[-1])
+                if size >= GROUP_WORDS:
+                    parts.append(scorer.probabilities(group) if scorer else np.zeros(len(group)))
+                    group, size = [], 0
+            parts.append(scorer.probabilities(group) if scorer else np.zeros(len(group)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(KEY), batch.column("doc_id"), pa.array(made.astype(float))], [KEY, "doc_id", "score"])
+                [batch.column(KEY), batch.column("doc_id"), pa.array(np.concatenate(parts).astype(float))],
+                [KEY, "doc_id", "score"])
 
     return rows.select(KEY, "doc_id", "text").mapInArrow(run, f"{KEY} long, doc_id long, score double")
 
