@@ -11,6 +11,8 @@ from tablekin.operators.sampling import (
 )
 from tablekin.schema import COLUMN, TABLE
 
+# How columns are written for an encoder.
+NAME_HEAD, VALUES_HEAD = "Column: ", ". Values: "
 # 5 characters for each of the 512 tokens an encoder takes when it names no limit of its own
 ENCODER_CHARS = 2560
 
@@ -50,7 +52,7 @@ def encoder_column_texts(cells: DataFrame, columns_meta: DataFrame, n: int = 20,
     Tables without rows give no text.
     """
     columns = columns_meta.join(nonempty_tables(cells), TABLE, "left_semi")
-    name = F.concat(F.lit("Column: "), "col_name")
+    name = F.concat(F.lit(NAME_HEAD), "col_name")
     if include_names and names_only:
         units = columns.withColumn("text", name)
     else:
@@ -59,7 +61,7 @@ def encoder_column_texts(cells: DataFrame, columns_meta: DataFrame, n: int = 20,
                              "left" if include_names else "inner")
         if include_names:
             units = units.withColumn("text", F.when(F.col("text").isNull(), name).otherwise(
-                F.concat(name, F.lit(". Values: "), "text")))
+                F.concat(name, F.lit(VALUES_HEAD), "text")))
     return units.select(*TABLE, F.col("col_pos").cast("bigint").alias("unit_id"),
                         F.substring("text", 1, max_chars).alias("text"))
 
