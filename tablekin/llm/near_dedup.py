@@ -3,8 +3,8 @@
 Words: A-Z in lower case, runs of characters outside ASCII punctuation, blanks and control characters.
 k-mers are runs of five words with their occurrence number, so that all of a text differ. A
 sketch takes the 8 smallest k-mers of a text by one random order and keeps them in text order; documents that
-share one of 40 sketches are candidates: 99.9 % of those with similarity 0.8, and one in
-thousands of those that share a passage. Texts of few k-mers have 12 sketches of two k-mers.
+share one of 40 sketches are candidates: 99.9 % of those with similarity 0.8, 0.3 % of those with
+similarity 0.3, as texts that share a passage have it. Texts of few k-mers have 12 sketches of two k-mers.
 
 Candidates are verified by banded alignment of their k-mers: with a k-mers aligned in order out of n and
 m, the similarity a / (n + m - a) must be 0.8 or more; such an alignment never leaves the band of
