@@ -1,6 +1,8 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line with words; longer ones are read in windows of 40 words, 20 apart. A sparse
+A paragraph is a line with words; longer ones are read in windows of 40 words, 20 apart. Notices wrapped over
+lines are read in such windows over all lines up to one without words (comment marks are none); what they
+confirm counts once, from its first line to its last, in place of what its lines leave unconfirmed. A sparse
 logistic regression over words and word pairs gives each window a licence family or "unknown". It is trained
 in numpy on variants of licence notices (cut, with dropped words, inside other text) against
 lines of a bounded sample of the documents and near misses; its probabilities are calibrated on examples kept
@@ -203,9 +205,39 @@ def confirmed(words: list[bytes], family: str) -> bool:
     return any(len(own & notice) >= CONFIRMED * len(notice) for notice in TRIPLES[family])
 
 
+def crossing(words: list[bytes], lines: list[int], family: str) -> list[tuple[int, int, int]]:
+    """(notice, first line, last line) of the family's notices that a window holds and no single line of it does."""
+    places = list(zip(words, words[1:], words[2:]))
+    out = []
+    for number, notice in enumerate(TRIPLES[family]):
+        at = [i for i, triple in enumerate(places) if triple in notice]
+        if len({places[i] for i in at}) < CONFIRMED * len(notice):
+            continue
+        alone = {}
+        for i in at:
+            if lines[i] == lines[i + 2]:
+                alone.setdefault(lines[i], set()).add(places[i])
+        if all(len(own) < CONFIRMED * len(notice) for own in alone.values()):
+            out.append((number, lines[at[0]], lines[at[-1] + 2]))
+    return out
+
+
+def _joined(spans: set[tuple[int, int, str, int]]) -> set[tuple[int, int, str]]:
+    """Spans of one notice that overlap, from neighbouring windows, as one."""
+    out, last = set(), None
+    for family, notice, start, end in sorted((f, n, a, b) for a, b, f, n in spans):
+        if last and last[:2] == (family, notice) and start < last[3]:
+            last = (family, notice, last[2], max(last[3], end))
+        else:
+            out |= {(last[2], last[3], last[0])} if last else set()
+            last = (family, notice, start, end)
+    return out | ({(last[2], last[3], last[0])} if last else set())
+
+
 def scan(texts: list[str], model: Classifier, ids: WordIds) -> list[tuple[int, list[tuple[int, int, str, bool]]]]:
     """Per text the number of paragraphs and (start, end, family, confirmed) of those with a notice."""
     out = [[0, []] for _ in texts]
+    wrapped = [set() for _ in texts]
     group, where = [], []
 
     def flush():
@@ -214,24 +246,48 @@ def scan(texts: list[str], model: Classifier, ids: WordIds) -> list[tuple[int, l
         p = model.probabilities(model.logits(*feature_rows(group, ids)))
         for i in np.flatnonzero((p[:, :UNKNOWN].max(1) >= CERTAIN)):
             family = FAMILIES[int(p[i, :UNKNOWN].argmax())]
-            owner, start, end = where[i]
-            out[owner][1].append((start, end, family, confirmed(group[i], family)))
+            owner, start, end, lines = where[i]
+            if lines is None:
+                out[owner][1].append((start, end, family, confirmed(group[i], family)))
+            else:
+                for notice, first, last in crossing(group[i], lines, family):
+                    wrapped[owner].add((start[first], end[last], family, notice))
         group.clear()
         where.clear()
 
+    def across(owner, block):
+        """Windows over the lines of a block, as far as they hold more than one."""
+        if len(block) > 1:
+            words = [word for said, _, _ in block for word in said]
+            lines = [i for i, (said, _, _) in enumerate(block) for _ in said]
+            starts, ends = [a for _, a, _ in block], [b for _, _, b in block]
+            for a, b in units(len(words)):
+                if lines[a] != lines[b - 1]:
+                    group.append(words[a:b])
+                    where.append((owner, starts, ends, lines[a:b]))
+
     for owner, text in enumerate(texts):
-        start = 0
+        start, block = 0, []
         for line in text.split("\n"):
             words = words_of(line)
             if words:
                 out[owner][0] += 1
                 for a, b in units(len(words)):
                     group.append(words[a:b])
-                    where.append((owner, start, start + len(line)))
+                    where.append((owner, start, start + len(line), None))
+                block.append((words, start, start + len(line)))
+            else:
+                across(owner, block)
+                block = []
             start += len(line) + 1
+        across(owner, block)
         if len(group) >= 4_096:
             flush()
     flush()
+    for (_, found), spans in zip(out, wrapped):
+        whole = _joined(spans)
+        found[:] = [one for one in found if one[3] or not any(a <= one[0] and one[1] <= b and f == one[2] for a, b, f in whole)]
+        found += [(a, b, family, True) for a, b, family in whole]
     # windows of one line that say the same are one finding
     return [(n, sorted({(a, b, family): max(c for x, y, f, c in found if (x, y, f) == (a, b, family))
                         for a, b, family, _ in found}.items())) for n, found in out]
