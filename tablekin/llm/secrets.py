@@ -360,11 +360,11 @@ def all_spans(text: str, field: Field, shapes: Shapes) -> list[tuple[int, int, i
 
 
 def fit(docs: DataFrame) -> Field:
-    """A field from the documents, whichever a hash of their texts picks."""
+    """A field from the documents, whichever a hash of their texts picks; copies count once."""
     n = docs.count()
     share = min(1.0, SAMPLE_DOCUMENTS / max(n, 1))
     picked = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    snippets = picked.mapInArrow(_snippets, SNIPPETS).orderBy("at", "text").limit(SAMPLE_SNIPPETS).toArrow()
+    snippets = picked.distinct().mapInArrow(_snippets, SNIPPETS).orderBy("at", "text").limit(SAMPLE_SNIPPETS).toArrow()
     columns = [snippets.column(name).to_pylist() for name in ("at", "text", "marks", "file")]
     return train(list(zip(*columns)) + _fixed_examples())
 
