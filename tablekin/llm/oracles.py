@@ -75,8 +75,52 @@ select doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(n_remove
 from docs left join cut using (doc_id)
 """
 
+URL_FILTERS = r"""
+with rules(rule_host, rule_path, rule_verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+rests as (
+  select page_id, row_number() over () as nth,
+    case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+parts as (
+  select page_id, nth, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from (select page_id, nth, coalesce(rest, '') as rest from rests)),
+fitting as (
+  select nth, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+    arg_max(rule_verdict, length(rule_host || rule_path)) as rule_verdict
+  from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by nth)
+select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict from parts left join fitting using (nth)
+"""
+
+HARD_NEGATIVES = """
+with given as (
+  select distinct vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+named as (select *, row_number() over (order by vec_id, label, x) as nth from given),
+scored as (
+  select a.nth as anchor, a.vec_id as anchor_id, c.nth, c.vec_id, a.label = c.label as same,
+    cast(list_sum(list_transform(list_zip(a.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
+  from named a join named c on a.nth <> c.nth where a.vec_id % 100 = 0),
+positives as (
+  select anchor, anchor_id, vec_id as positive_id, score as positive_score,
+    row_number() over (partition by anchor order by score desc, vec_id, nth) as positive_rank
+  from scored where same qualify positive_rank <= 5)
+select anchor_id, positive_id,
+  cast(row_number() over (partition by anchor, positive_rank order by score desc, vec_id, nth) as integer) as rank,
+  vec_id as negative_id, positive_score, score as negative_score, cast(positive_rank as integer) as positive_rank
+from positives join scored using (anchor, anchor_id)
+where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op2_suffix_dedup": REPEATS,
     "op8_chat_formatting": CHAT,
+    "op12_url_filters": URL_FILTERS,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }
