@@ -69,6 +69,23 @@ def _names(position: int) -> str:
     return ", ".join(f"'{base}__{spec[position]}'" for base, spec in BASES.items() if spec[position])
 
 
+CSV_COLUMNS = [(base, name, expr) for base, spec in BASES.items() for name, expr in spec[4]] + [
+    ("lineitem", name, expr) for name, expr in [
+        ("l_orderkey", _text("l_orderkey")), ("l_linenumber", _text("l_linenumber")), ("l_quantity", _money("l_quantity")),
+        ("l_extendedprice", _money("l_extendedprice")), ("l_returnflag", "l_returnflag"),
+        ("l_shipdate", "strftime(l_shipdate, '%Y-%m-%d')")]]
+# Texts that a CSV reader takes as missing.
+MISSING = ", ".join(f"'{token}'" for token in """
+#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null|
+""".strip().split("|"))
+CSV_SQL = f"""SELECT col_name, count(*) AS n_rows, count(value) AS n_values,
+        count(DISTINCT value) AS n_distinct, CAST(coalesce(sum(strlen(value)), 0) AS BIGINT) AS n_bytes,
+        min(value) AS least, max(value) AS most
+    FROM (SELECT col_name, CASE WHEN value NOT IN ({MISSING}) THEN value END AS value FROM (""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS col_name, {expr} AS value FROM {base}" for base, name, expr in CSV_COLUMNS).replace(
+    "'text' AS col_name", "'whole' || chr(10) || 'text' AS col_name") + ")) GROUP BY col_name"
+
+
 PARTS: dict[str, str] = {
     "base_columns": "SELECT * FROM (VALUES " + ", ".join(
         f"('{base}', {pos}, '{name}', {str(pos == len(spec[4]) - 1).lower()})"
@@ -486,6 +503,7 @@ ENCODED = """
 FINAL: dict[str, str] = {
     "lake_cells": "SELECT * FROM cells",
     "parquet_lake_cells": _typed_sql(False),
+    "csv_lake_cells": CSV_SQL,
     "parquet_column_types": _typed_sql(True),
     "disambiguated_headers": """SELECT side, table_name, col_pos, CASE
             WHEN name = '' THEN 'Unnamed: ' || col_pos

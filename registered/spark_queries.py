@@ -1,15 +1,16 @@
 """Every operator as a query over the carved lake or the given tables."""
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registered.lake import CarvedLake, carved_lake
+from registered.lake import BASES, CarvedLake, carved_lake, money
 from tablekin.functions import vectors as V
 from tablekin.functions.encoders import HashedWords, encode_texts
-from tablekin.functions.frames import cut
+from tablekin.functions.frames import cut, shared_folder
 from tablekin.functions.headers import disambiguate_headers
 from tablekin.functions.text import (
     english_stop_words,
@@ -34,6 +35,7 @@ from tablekin.plans import experiments, ranking
 from tablekin.plans.overlap_report import OverlapReport
 from tablekin.plans.profile_report import ProfileReport
 from tablekin.schema import COLUMN, LAKE, QUERY, TABLE
+from tablekin.sources.csv_lake import read_csv_lake
 from tablekin.sources.frames_lake import read_parquet_lake
 
 K = 10
@@ -155,6 +157,28 @@ def parquet_lake_cells(w: Stored) -> DataFrame:
         F.when(is_text, F.col("most")).alias("most"))
 
 
+# given tables as CSV: column names, one with a line break, and their texts
+CSV_TABLES = {base.name: base.columns for base in BASES} | {"lineitem": {
+    "l_orderkey": "cast(l_orderkey as string)", "l_linenumber": "cast(l_linenumber as string)",
+    "l_quantity": money("l_quantity"), "l_extendedprice": money("l_extendedprice"), "l_returnflag": "l_returnflag",
+    "l_shipdate": "date_format(l_shipdate, 'yyyy-MM-dd')"}}
+CSV_TABLES["documents"] = {"whole\ntext" if name == "text" else name: text for name, text in CSV_TABLES["documents"].items()}
+
+
+def csv_lake_cells(w: Stored) -> DataFrame:
+    """What the CSV reader makes of whole given tables, written as CSV files by Spark, column by column."""
+    folder = f"{shared_folder(w.lake.spark)}/csv-{uuid.uuid4().hex}"
+    for name, columns in CSV_TABLES.items():
+        table = w.lake.table(name).select(*[F.expr(text).alias(column) for column, text in columns.items()])
+        table.write.csv(f"{folder}/{name}", header=True, escape='"', nullValue="", emptyValue="",
+                        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    cells, _ = read_csv_lake(w.lake.spark, f"{folder}/*", LAKE)
+    return cells.groupBy("col_name").agg(
+        F.count("*").alias("n_rows"), F.count("value").alias("n_values"), F.countDistinct("value").alias("n_distinct"),
+        F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("n_bytes"), F.min("value").alias("least"),
+        F.max("value").alias("most"))
+
+
 def parquet_column_types(w: Stored) -> DataFrame:
     return typing.column_types(*_parquet_lake(w)).select(
         "table_name", "col_pos", "col_name", "n_rows", "n_values", "data_type")
@@ -575,6 +599,7 @@ def grid_metrics(w: Stored) -> DataFrame:
 QUERIES: dict[str, Callable[[Stored], DataFrame]] = {
     "lake_cells": lake_cells,
     "parquet_lake_cells": parquet_lake_cells,
+    "csv_lake_cells": csv_lake_cells,
     "parquet_column_types": parquet_column_types,
     "disambiguated_headers": disambiguated_headers,
     "empty_tables": empty_tables,

@@ -1,8 +1,9 @@
 """Joins and per-group selections that do not depend on how rows spread over keys."""
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
@@ -45,17 +46,22 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], small_rows: int,
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that ``spark.checkpoint.dir`` names; a temporary one only in local mode."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="tablekin-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The frame written once to the checkpoint folder, for plans that use it several times.
+    """The frame written once to the shared folder, for plans that use it several times.
 
-    The folder is the one the session names; only in local mode a temporary one is made where
-    there is none. Lost executors do not lose the data.
+    Lost executors do not lose the data.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablekin-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

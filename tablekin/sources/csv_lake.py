@@ -1,27 +1,15 @@
 """Lakes of CSV files, one table per file, each with its own header."""
 
-import csv
-import sys
-from collections.abc import Iterator
-from functools import reduce
-
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekin.functions.frames import join_small
+from tablekin.functions.frames import cut, join_small
 from tablekin.functions.headers import unique_names
 from tablekin.functions.values import null_if_missing, strip_csv
 from tablekin.schema import COLUMN
-from tablekin.sources.frames_lake import readable_path
-
-# a text that stands for no value, so that empty fields stay texts and absent ones are null
-NO_VALUE = "\x00"
-MOST_COLUMNS = 1_000_000
-
-_PARSED = "table_name string, col_pos int, col_name string, row_id long, value string"
+from tablekin.sources.csv_records import read_records
 
 
 def _table_name(path) -> F.Column:
@@ -31,86 +19,57 @@ def _table_name(path) -> F.Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _header_names(headers: pd.Series) -> pd.Series:
-    csv.field_size_limit(sys.maxsize)
-    return headers.map(lambda line: unique_names(next(csv.reader([line]), [])))
+    return headers.map(lambda names: unique_names(list(names)))
 
 
-def _headers(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, names`` of all readable files: the first line that is not blank.
+def _headers(records: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """``path, names, first_block`` of all readable files: the fields of the first record."""
+    first = records.filter(F.col("at") == 0).groupBy("path").agg(
+        F.min_by("fields", "block").alias("header"), F.min("block").alias("first_block"))
+    return cut(first.join(unreadable, "path", "left_anti").select("path", _header_names("header").alias("names"), "first_block"))
 
-    A file with a byte sequence that is not UTF-8 is left out whole, whatever its size.
-    """
-    lines = (
-        spark.read.option("pathGlobFilter", "*.csv").text(folder)
-        .select("value", F.col("_metadata.file_path").alias("path"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("at"))
-    )
-    filled = F.trim("value") != ""
-    # the first line of a file's first filled block
-    place = F.when(filled, F.struct("block", "at"))
-    per_file = lines.groupBy("path").agg(
-        F.every(F.is_valid_utf8("value")).alias("readable"), F.min_by("value", place).alias("header"))
-    return per_file.filter(F.col("readable") & F.col("header").isNotNull()).select(
-        "path", _header_names(F.regexp_replace("header", "^﻿", "")).alias("names"))
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows numbered from 0 within each file; a file is read by one task in its order."""
-    path, seen = None, 0
-    for batch in batches:
-        paths = batch.column("path").to_pylist()
-        numbers = []
-        for own in paths:
-            path, seen = own, seen + 1 if own == path else 0
-            numbers.append(seen)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("path"), pa.array(numbers, pa.int64()), batch.column("fields")],
-            ["path", "row_id", "fields"])
-
-
-def _rows(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
-    """``path, row_id, fields`` of files with so many columns.
-
-    One more column is read than there are: what stands in it comes from rows with too many
-    fields, which are skipped. Fields that a short row lacks are null.
+
+def _numbered(rows: DataFrame, is_data) -> DataFrame:
+    """The data rows with ``row_id``, which counts them from 0 in each file.
+
+    A block's rows start at the number of data rows in the blocks before it. Within a block a row's place is its
+    record's, less one for a header; only blocks that hold skipped rows are numbered by a window over the block.
     """
-    names = [f"c{pos}" for pos in range(width + 1)]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    frame = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
-        .option("escape", '"').option("nullValue", NO_VALUE).option("emptyValue", "")
-        .option("maxColumns", MOST_COLUMNS).option("mode", "PERMISSIVE").csv([readable_path(path) for path in paths])
-    )
-    return frame.filter(F.col(names[-1]).isNull()).select(
-        F.col("_metadata.file_path").alias("path"), F.array(*names[:-1]).alias("fields"),
-    ).mapInArrow(_numbered, "path string, row_id long, fields array<string>")
+    header = (F.col("block") == F.col("first_block")) & (F.col("at") == 0)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut(rows.groupBy("path", "block").agg(
+        F.count_if(is_data).alias("n"), F.count_if(~is_data & ~header).alias("skipped"),
+        F.count_if(header).alias("headers")).select(
+            "path", "block", "skipped", "headers", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("passed")))
+    counted = blocks.agg(F.count("*").alias("blocks"), F.count_if(F.col("skipped") > 0).alias("uneven")).first()
+    placed = join_small(rows.filter(is_data), blocks, ["path", "block"], counted["blocks"], spread=["at"])
+    even = placed.withColumn("row_id", F.col("passed") + F.col("at") - F.col("headers"))
+    if not counted["uneven"]:
+        return even
+    in_block = F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1
+    uneven = placed.filter(F.col("skipped") > 0).withColumn("row_id", F.col("passed") + in_block)
+    return even.filter(F.col("skipped") == 0).unionByName(uneven)
 
 
 def parse_csv_lake(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed cells of all ``*.csv`` of a folder, with each header as row -1.
 
-    Files of equally many columns are read by one scan of Spark's CSV reader; its plan grows
-    with the number of different widths, not of files. Quoted line breaks are kept, so a
-    file is read as a stream by one task. The paths of the files, no more, pass the driver.
+    Files are cut into records in parallel, a large one by many tasks (see ``csv_records``), and parsed once.
+    The header is the first record, line breaks in quotes included; fields that a short row lacks are missing, rows with more
+    fields than the header are skipped. The result does not depend on how Spark splits the files.
     """
-    headers = _headers(spark, folder)
-    listed = headers.select("path", F.size("names").alias("width")).collect()
-    if not listed:
-        return spark.createDataFrame([], _PARSED)
-    tables = headers.select(
+    records, unreadable = read_records(spark, folder)
+    headers = _headers(records, unreadable)
+    rows = join_small(records, headers, ["path"], headers.count(), spread=["block", "at"])
+    is_data = ~((F.col("block") == F.col("first_block")) & (F.col("at") == 0)) & (F.size("fields") <= F.size("names"))
+    cells = _numbered(rows, is_data).select(
+        _table_name(F.col("path")).alias("table_name"), "row_id", "fields",
+        F.posexplode("names").alias("col_pos", "col_name"),
+    ).select("table_name", "col_pos", "col_name", "row_id",
+             null_if_missing(F.get("fields", "col_pos")).alias("value"))
+    return cells.unionByName(headers.select(
         _table_name(F.col("path")).alias("table_name"), F.posexplode("names").alias("col_pos", "col_name"),
-        F.lit(-1).cast("long").alias("row_id"), F.lit(None).cast("string").alias("value"))
-    parts = []
-    for width in sorted({row["width"] for row in listed}):
-        rows = _rows(spark, [row["path"] for row in listed if row["width"] == width], width)
-        named = join_small(rows, headers, ["path"], len(listed), spread=["row_id"])
-        parts.append(named.select(
-            _table_name(F.col("path")).alias("table_name"), "row_id", "fields",
-            F.posexplode("names").alias("col_pos", "col_name"),
-        ).select("table_name", "col_pos", "col_name", "row_id",
-                 null_if_missing(F.get("fields", "col_pos")).alias("value")))
-    return reduce(DataFrame.unionByName, [*parts, tables])
+        F.lit(-1).cast("long").alias("row_id"), F.lit(None).cast("string").alias("value")))
 
 
 def split_parsed(parsed: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
@@ -125,6 +84,6 @@ def split_parsed(parsed: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
 def read_csv_lake(spark: SparkSession, folder: str, side: str) -> tuple[DataFrame, DataFrame]:
     """``cells`` and ``columns_meta`` of a folder of CSV files.
 
-    Files are parsed again by every plan that reads the frames; ``store_lake`` keeps them.
+    Records are kept in the checkpoint folder as long as the frames are; ``store_lake`` keeps cells.
     """
     return split_parsed(parse_csv_lake(spark, folder), side)
