@@ -1,47 +1,19 @@
 """Tables compared column by column: similar column pairs and their best alignment."""
 
-import heapq
-from collections import defaultdict
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablekin.functions.assignment import best_alignment, edge_matrix, upper_bound
-from tablekin.operators.search import (
-    CANDIDATE_BLOCK,
-    DIGITS,
-    SPARSE_BLOCK,
-    block_pairs,
-    candidate_pool,
-    entry_lists,
-    entry_products,
-    pad_ranking,
-    unit_products,
-    valid_queries,
-)
+from tablekin.functions.frames import cut, first_per_group, join_small
+from tablekin.operators.pruned import DIGITS, all_above
+from tablekin.operators.search import candidate_pool, entry_lists, pad_ranking, valid_queries
 from tablekin.schema import COLUMN, LAKE, MARK, QUERY, TABLE
 
-EDGES = "query_table string, query_col int, cand_table string, cand_col int, sim double"
-PAIR_SCORES = "query_table string, cand_table string, score double"
-
-
-def _above(products, threshold: float):
-    def pairs(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        sims = products(q, c)
-        row, col = np.nonzero(sims > threshold)
-        return pd.DataFrame({
-            "query_table": q["query_table"].to_numpy()[row], "query_col": q["query_col"].to_numpy()[row],
-            "cand_table": c["cand_table"].to_numpy()[col], "cand_col": c["cand_col"].to_numpy()[col],
-            "sim": sims[row, col]})
-
-    return pairs
-
 
 def _column_pairs(vectors: DataFrame, column: str, values: list[str], queries: DataFrame, pool: DataFrame,
-                  products, c_size: int, threshold: float) -> DataFrame:
+                  threshold: float) -> DataFrame:
     if threshold < 0:
         raise ValueError("what has no edge would score more than some that have one")
     named = vectors.withColumn("_col", F.col(column).cast("int"))
@@ -49,8 +21,7 @@ def _column_pairs(vectors: DataFrame, column: str, values: list[str], queries: D
         F.col("table_name").alias("query_table"), F.col("_col").alias("query_col"), *values)
     others = named.join(pool, ["side", "table_name"]).select(
         F.col("table_name").alias("cand_table"), F.col("_col").alias("cand_col"), *values)
-    return block_pairs(own, others, ["query_table", "query_col"], ["cand_table", "cand_col"], values, c_size,
-                       _above(products, threshold), EDGES)
+    return all_above(cut(own), others, ["query_table", "query_col"], ["cand_table", "cand_col"], values, threshold)
 
 
 def column_pair_similarity(vectors: DataFrame, queries: DataFrame, pool: DataFrame,
@@ -58,11 +29,10 @@ def column_pair_similarity(vectors: DataFrame, queries: DataFrame, pool: DataFra
     """Column pairs with cosine above ``threshold`` (>= 0): the edges of each table pair.
 
     ``vectors`` have unit length. ``queries`` is ``query_table, side``, ``pool`` is
-    ``table_name, side``. Blocks of query columns are multiplied with blocks of candidate
-    columns, and only pairs above the threshold leave a task.
+    ``table_name, side``. Query columns are broadcast in blocks, candidate columns stay where
+    they lie, and only pairs above the threshold leave a task.
     """
-    return _column_pairs(entry_lists(vectors, COLUMN), "col_pos", ["dims", "weights"], queries, pool,
-                         entry_products, SPARSE_BLOCK, threshold)
+    return _column_pairs(entry_lists(vectors, COLUMN), "col_pos", ["dims", "weights"], queries, pool, threshold)
 
 
 def dense_column_pairs(vectors: DataFrame, queries: DataFrame, pool: DataFrame,
@@ -72,7 +42,7 @@ def dense_column_pairs(vectors: DataFrame, queries: DataFrame, pool: DataFrame,
     Cosines below the threshold, negative ones included, leave no edge, and a column without
     length is like none.
     """
-    return _column_pairs(vectors, "unit_id", ["vec"], queries, pool, unit_products, CANDIDATE_BLOCK, threshold)
+    return _column_pairs(vectors, "unit_id", ["vec"], queries, pool, threshold)
 
 
 def _pair_edges(edges: DataFrame) -> DataFrame:
@@ -82,47 +52,46 @@ def _pair_edges(edges: DataFrame) -> DataFrame:
     ).select("query_table", "cand_table", "edges.query_col", "edges.cand_col", "edges.sim")
 
 
+@F.pandas_udf(T.DoubleType())
+def _alignment(left: pd.Series, right: pd.Series, sim: pd.Series) -> pd.Series:
+    return pd.Series([best_alignment(edge_matrix(*lists)) for lists in zip(left, right, sim)], dtype=float)
+
+
+def _solved(pairs: DataFrame) -> DataFrame:
+    return pairs.select("query_table", "cand_table", F.round(_alignment("query_col", "cand_col", "sim"), DIGITS).alias("score"))
+
+
 def bipartite_scores(edges: DataFrame) -> DataFrame:
     """The weight of the best one-to-one alignment of every table pair with an edge."""
+    return _solved(_pair_edges(edges))
 
-    @F.pandas_udf("double")
-    def score(left: pd.Series, right: pd.Series, sim: pd.Series) -> pd.Series:
-        return pd.Series([best_alignment(edge_matrix(*lists)) for lists in zip(left, right, sim)],
-                         dtype=float)
 
-    return _pair_edges(edges).select(
-        "query_table", "cand_table",
-        F.round(score("query_col", "cand_col", "sim"), DIGITS).alias("score"))
+@F.pandas_udf(T.DoubleType())
+def _bound(left: pd.Series, right: pd.Series, sim: pd.Series) -> pd.Series:
+    return pd.Series([upper_bound(edge_matrix(*lists)) for lists in zip(left, right, sim)], dtype=float)
 
 
 def bipartite_candidates(edges: DataFrame, k: int) -> DataFrame:
     """Scores of all pairs that can be among a query's k best; the rest is never solved.
 
-    A task keeps the k best scores it has seen per query and skips a pair whose upper bound
-    is below the k-th: such a pair has k better ones in this task alone.
+    The k pairs of each query with the highest upper bounds are solved first. The k-th best of their
+    scores is sent to all tasks, and of the other pairs only those whose bound reaches it are solved. Which pairs
+    that are depends on the edges alone.
     """
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[str, list[float]] = defaultdict(list)
-        for batch in batches:
-            rows = []
-            for query, cand, left, right, sim in batch.itertuples(index=False):
-                weights = edge_matrix(left, right, sim)
-                scores = best[query]
-                # half a unit of the last digit kept can still be rounded to a tie
-                if len(scores) == k and upper_bound(weights) < scores[0] - 10.0 ** -DIGITS:
-                    continue
-                score = best_alignment(weights)
-                rows.append((query, cand, score))
-                if len(scores) < k:
-                    heapq.heappush(scores, score)
-                else:
-                    heapq.heappushpop(scores, score)
-            yield pd.DataFrame(rows, columns=["query_table", "cand_table", "score"]).astype(
-                {"score": np.float64})
-
-    solved = _pair_edges(edges).mapInPandas(solve, PAIR_SCORES)
-    return solved.withColumn("score", F.round("score", DIGITS))
+    pairs = cut(_pair_edges(edges).withColumn("bound", _bound("query_col", "cand_col", "sim")))
+    order = [F.col("bound").desc(), F.col("cand_table")]
+    chosen = cut(first_per_group(pairs.select("query_table", "cand_table", "bound"), ["query_table"], order, k,
+                                 spread=["cand_table"]).select("query_table", "cand_table"))
+    n = chosen.count()
+    on = ["query_table", "cand_table"]
+    solved = cut(_solved(join_small(pairs, chosen, on, n, spread=["cand_table"], how="left_semi")))
+    thresholds = solved.groupBy("query_table").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(
+        F.col("n") == k).select("query_table", "kth")
+    rest = join_small(pairs, chosen, on, n, spread=["cand_table"], how="left_anti")
+    # half a unit of the last digit kept can still be rounded to a tie
+    reaching = join_small(rest, thresholds, ["query_table"], n, spread=["cand_table"]).filter(
+        F.col("bound") >= F.col("kth") - 10.0 ** -DIGITS)
+    return solved.unionByName(_solved(reaching))
 
 
 def query_sides(gt: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -6,24 +6,16 @@ Scores are rounded to six places before ranking; equal scores rank by name.
 import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablekin.functions.frames import SALTS, first_per_group
 from tablekin.operators.features import l2_normalise
+from tablekin.operators.pruned import DIGITS, best_of_all
 from tablekin.schema import MARK, QUERY
 
-DIGITS = 6
 # query vector entries broadcast at once; more are searched block by block
 BLOCK_ENTRIES = 4_000_000
-# vectors that meet in one matrix product
-QUERY_BLOCK = 1_000
-CANDIDATE_BLOCK = 20_000
-# the same where vectors are lists of entries, and the dimensions they are multiplied in at once
-SPARSE_BLOCK = 2_000
-DIMENSIONS = 4_096
 
 
 def candidate_pool(vectors: DataFrame, prefer: str = QUERY) -> DataFrame:
@@ -139,109 +131,21 @@ def entry_lists(entries: DataFrame, keys: list[str]) -> DataFrame:
         F.collect_list(F.when(real, F.col("weight"))).alias("weights"))
 
 
-def entry_products(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
-    """Dot products of the vectors of two blocks (``dims``, ``weights``), over the dimensions of the first."""
-    known = np.unique(np.concatenate([*q["dims"], np.zeros(0, np.int64)]))
-    out = np.zeros((len(q), len(c)))
-
-    def matrix(block: pd.DataFrame, dims: np.ndarray) -> np.ndarray:
-        rows = np.repeat(np.arange(len(block)), [len(own) for own in block["dims"]])
-        own = np.concatenate([*block["dims"], np.zeros(0, np.int64)])
-        at = np.minimum(np.searchsorted(dims, own), len(dims) - 1)
-        here = dims[at] == own
-        made = np.zeros((len(block), len(dims)))
-        made[rows[here], at[here]] = np.concatenate([*block["weights"], np.zeros(0)])[here]
-        return made
-
-    for low in range(0, len(known), DIMENSIONS):
-        dims = known[low:low + DIMENSIONS]
-        out += matrix(q, dims) @ matrix(c, dims).T
-    return out
-
-
 def pooled_top_k(vectors: DataFrame, gt: DataFrame, k: int = 10,
                  exclude_self: bool = False) -> DataFrame:
     """``query_table, cand_table, score, rank`` by cosine of ``pool_vectors``.
 
-    ``vectors`` is read several times, so it should be stored or cut. Blocks of vectors are multiplied,
-    so no row is made per pair or entry; tables without a common entry score 0.
+    ``vectors`` is read several times, so it should be stored or cut. Blocks of vectors are multiplied, those
+    that cannot hold one of the best left out (see ``pruned``); no row is made per pair or entry. Tables without a common entry score 0.
     """
     queries = valid_queries(gt, pool_names(vectors))
     rows = entry_lists(vectors, ["table_name"])
     asked = rows.withColumnRenamed("table_name", "query_table").join(queries, "query_table", "left_semi")
-    return _block_top_k(asked, rows.withColumnRenamed("table_name", "cand_table"), ["dims", "weights"],
-                        entry_products, SPARSE_BLOCK, k, exclude_self)
-
-
-def unit_rows(vectors: pd.Series) -> np.ndarray:
-    matrix = np.stack(vectors.to_list()).astype(float)
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-
-def unit_products(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
-    """Cosines of the dense vectors of two blocks (``vec``)."""
-    return unit_rows(q["vec"]) @ unit_rows(c["vec"]).T
+    return top_k(best_of_all(asked, rows.withColumnRenamed("table_name", "cand_table"), ["dims", "weights"], k,
+                             exclude_self), k)
 
 
 def dense_top_k(queries: DataFrame, candidates: DataFrame, k: int = 10,
                 exclude_self: bool = False) -> DataFrame:
     """The same for dense vectors: ``query_table, vec`` against ``cand_table, vec``."""
-    return _block_top_k(queries, candidates, ["vec"], unit_products, CANDIDATE_BLOCK, k, exclude_self)
-
-
-def block_pairs(queries: DataFrame, candidates: DataFrame, by_query: list[str], by_candidate: list[str],
-                values: list[str], c_size: int, work, schema: str) -> DataFrame:
-    """``work(q, c)`` over every block of queries and every block of candidates, cut by hash of their keys.
-
-    A task holds two blocks whatever the number of vectors; what ``work`` keeps is all that leaves it.
-    """
-    q_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    c_blocks = max(8, math.ceil(candidates.count() / c_size))
-
-    def block(names: list[str], n: int):
-        return F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    # fresh names: both sides may come from the same frame
-    q_side = queries.select(
-        *[F.col(name).alias(f"q_{name}") for name in [*by_query, *values]],
-        block(by_query, q_blocks).alias("qb"), every(c_blocks).alias("cb"))
-    c_side = candidates.select(
-        *[F.col(name).alias(f"c_{name}") for name in [*by_candidate, *values]],
-        block(by_candidate, c_blocks).alias("cb"), every(q_blocks).alias("qb"))
-
-    def both(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame(columns=[field.split(" ")[0] for field in schema.split(", ")])
-        plain = [frame.rename(columns=lambda name: name[2:] if name[1] == "_" else name) for frame in (q, c)]
-        return work(*plain)
-
-    return q_side.groupBy("qb", "cb").cogroup(c_side.groupBy("qb", "cb")).applyInPandas(both, schema)
-
-
-def _block_top_k(queries: DataFrame, candidates: DataFrame, values: list[str], products, c_size: int,
-                 k: int, exclude_self: bool) -> DataFrame:
-    """The k best candidates of each query; blocks keep k per query, so no other pairs are shuffled."""
-
-    def best_of_block(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        c = c.sort_values("cand_table", ignore_index=True)
-        scores = np.round(products(q, c), DIGITS) + 0.0
-        q_names, c_names = q["query_table"].to_numpy(), c["cand_table"].to_numpy()
-        if exclude_self:
-            scores[q_names[:, None] == c_names[None, :]] = -np.inf
-        keep = min(k, scores.shape[1])
-        border = np.partition(scores, scores.shape[1] - keep, axis=1)[:, -keep]
-        row, col = np.nonzero((scores >= border[:, None]) & np.isfinite(scores))
-        order = np.lexsort((col, -scores[row, col], row))
-        row, col = row[order], col[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-        row, col = row[place < k], col[place < k]
-        return pd.DataFrame({"query_table": q_names[row], "cand_table": c_names[col],
-                             "score": scores[row, col]})
-
-    best = block_pairs(queries, candidates, ["query_table"], ["cand_table"], values, c_size, best_of_block,
-                       "query_table string, cand_table string, score double")
-    return top_k(best, k)
+    return top_k(best_of_all(queries, candidates, ["vec"], k, exclude_self), k)

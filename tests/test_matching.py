@@ -49,8 +49,17 @@ def test_unsolved_pairs_are_never_among_the_best(spark):
     assert len(some) < len(everything)
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_what_is_solved_does_not_depend_on_partitions(spark, parts):
+    rng = np.random.default_rng(6)
+    rows = [(f"c{c:03d}", i, j, 0.1 + 0.9 * float(rng.random()) * (c % 10 == 0 or 0.3)) for c in range(100)
+            for i in range(3) for j in range(3)]
+    solved = bipartite_candidates(edges(spark, *rows).repartition(parts), 4)
+    assert 4 <= solved.count() == solved.dropDuplicates(["query_table", "cand_table"]).count() <= 20
+
+
 def test_blocks_do_not_change_edges(spark, monkeypatch):
-    from tablekin.operators import matching, search
+    from tablekin.operators import pruned
     from tablekin.operators.matching import column_pair_similarity
     rng = np.random.default_rng(4)
     entries = []
@@ -71,9 +80,9 @@ def test_blocks_do_not_change_edges(spark, monkeypatch):
                       for r in column_pair_similarity(vectors, queries, pool, 0.1).collect())
 
     once = found()
-    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
-    monkeypatch.setattr(search, "DIMENSIONS", 3)
-    monkeypatch.setattr(matching, "SPARSE_BLOCK", 4)
+    monkeypatch.setattr(pruned, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(pruned, "RING_CELLS", 70)
+    monkeypatch.setattr(pruned, "RING", 4)
     assert found() == once and len(once) > 36
     with pytest.raises(ValueError):
         column_pair_similarity(vectors, queries, pool, -0.5)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablekin.operators import search
+from tablekin.operators import pruned, search
 from tablekin.operators.pooling import dense_table_vectors
 from tablekin.plans.ranking import rank_dense, rank_sparse, sparse_vectors
 from tablekin.schema import LAKE, MARK
@@ -67,9 +67,9 @@ def test_blocks_and_partitions_do_not_matter(spark, monkeypatch):
             cosines[int(row["query_table"][1:]), int(row["cand_table"][1:])], abs=1e-6)
     assert once.count() == int((cosines > 0).sum())
     whole = search.pooled_top_k(pooled, gt, 7, True)
-    monkeypatch.setattr(search, "QUERY_BLOCK", 9)
-    monkeypatch.setattr(search, "SPARSE_BLOCK", 4)
-    monkeypatch.setattr(search, "DIMENSIONS", 7)
+    monkeypatch.setattr(pruned, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(pruned, "RING", 4)
+    monkeypatch.setattr(pruned, "RING_CELLS", 70)
     small = search.pooled_top_k(pooled, gt, 7, True)
     assert rows(small, *small.columns) == rows(whole, *whole.columns)
     scores = np.round(cosines, 6)
@@ -88,8 +88,8 @@ def test_blocks_bound_what_is_broadcast(spark, monkeypatch):
 
 @pytest.mark.parametrize("exclude_self", [False, True])
 def test_dense_search_by_brute_force(spark, monkeypatch, exclude_self):
-    monkeypatch.setattr(search, "QUERY_BLOCK", 11)
-    monkeypatch.setattr(search, "CANDIDATE_BLOCK", 4)
+    monkeypatch.setattr(pruned, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(pruned, "RING", 4)
     rng = np.random.default_rng(2)
     vecs = np.round(rng.normal(size=(60, 5)), 1)
     vecs[7] = 0
