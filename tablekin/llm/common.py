@@ -1,14 +1,21 @@
 """What the operators share: row keys, stages in the shared folder, stable text samples."""
 
+import ctypes
+import gc
+import pickle
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark import cloudpickle
+import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY, ROW = "_key", "_row"
+BROADCAST_KEYS = 500_000  # keys of rows to be left out that are broadcast; more are found by a join
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,6 +24,32 @@ def shipped(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def by_value(spark: SparkSession, thing: Any) -> Broadcast:
+    """A small object broadcast with its class, for executors without this package; ``opened`` gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def opened(shared: Broadcast) -> Any:
+    return pickle.loads(shared.value)
+
+
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its memory back to the system at the end of a partition.
+
+    Workers live on from stage to stage, and what one of them keeps for later is missing elsewhere.
+    """
+
+    def run(batches):
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode."""
     context = spark.sparkContext
@@ -58,8 +91,13 @@ def keyed_whole(docs: DataFrame) -> DataFrame:
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The whole rows whose ``_key`` is not in ``gone``, with the columns they had."""
-    return rows.join(gone.select(KEY), KEY, "left_anti").select(f"{ROW}.*")
+    """The whole rows whose ``_key`` is not in ``gone``, with the columns they had.
+
+    Keys are counted; up to a bound they are broadcast, so that whole rows are not shuffled.
+    """
+    gone = stage(gone.select(KEY))
+    few = gone.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(gone) if few else gone, KEY, "left_anti").select(f"{ROW}.*")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import KEY, id_remainder, keyed, shipped, stage
+from tablekin.llm.common import KEY, id_remainder, keyed, released, shipped, stage
 
 shipped(__name__)
 
@@ -166,6 +166,24 @@ def _byte_log10(one: np.ndarray) -> np.ndarray:
     return out
 
 
+def run_logs(model: dict[str, np.ndarray], codes: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """log10 P(last byte of each run | the six before), from what longer contexts give each of its decisions.
+
+    ``model`` has the arrays of a Model.
+    """
+    row = model["rows"][(codes >> 40 & 255) << 8 | codes >> 48]
+    out = np.zeros(len(codes))
+    for level in range(8):
+        node = (1 << level) - 1 + ((codes & 255) >> (8 - level))
+        bit = codes >> (7 - level) & 1
+        p = model["ends"][bit, row, node].astype(float)
+        known = np.flatnonzero(~np.isnan(below[:, level]))
+        at = bit[known], row[known], node[known]
+        p[known] = model["above"][at] + model["reach"][at[1:]] * below[known, level].astype(float)
+        out += np.log10(p)
+    return out
+
+
 class Model:
     """log10 P(byte | last two bytes): a row per seen pair, per last byte, and one without context.
 
@@ -216,20 +234,6 @@ class Model:
         self.rows = np.tile(np.arange(BYTES, dtype=np.int32) + len(pairs), BYTES)
         self.rows[pairs] = np.arange(len(pairs), dtype=np.int32)
 
-    def run_values(self, codes: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """log10 P(last byte of each run | the six before), from what longer contexts give each of its decisions."""
-        row = self.rows[(codes >> 40 & 255) << 8 | codes >> 48]
-        out = np.zeros(len(codes))
-        for level in range(8):
-            node = (1 << level) - 1 + ((codes & 255) >> (8 - level))
-            bit = codes >> (7 - level) & 1
-            p = self.ends[bit, row, node].astype(float)
-            known = np.flatnonzero(~np.isnan(below[:, level]))
-            at = bit[known], row[known], node[known]
-            p[known] = self.above[at] + self.reach[at[1:]] * below[known, level].astype(float)
-            out += np.log10(p)
-        return out
-
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text; by two bytes of context."""
         out = []
@@ -271,19 +275,40 @@ def _summed(codes: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     return ordered[first], *[np.add.reduceat(one[order], first) if len(first) else one[:0] for one in sums]
 
 
+def _absorb(held: list[np.ndarray], waiting: list[tuple]) -> None:
+    """Adds the waiting sums to the held ones in place; only what is new makes longer arrays, one at a time."""
+    if not waiting:
+        return
+    codes, *sums = _summed(*map(np.concatenate, zip(*waiting)))
+    waiting.clear()
+    at = np.searchsorted(held[0], codes)
+    known = at < len(held[0])
+    known[known] = held[0][at[known]] == codes[known]
+    for one, more in zip(held[1:], sums):
+        one[at[known]] += more[known]
+    fresh = ~known
+    at = at[fresh]
+    for i, more in enumerate([codes, *sums]):
+        held[i] = np.insert(held[i], at, more[fresh])
+
+
 def run_counts(rows: DataFrame) -> DataFrame:
     """(code, n, m) of all runs of seven bytes: how often training texts and all texts hold them; rows of the same last
     three bytes of context are in one partition."""
 
     def count(batches):
-        nothing = np.zeros(0, np.int64)
-        held, waiting = (nothing, nothing, nothing), []
+        def empty():
+            return [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
 
-        def merged():
-            return _summed(*map(np.concatenate, zip(held, *waiting)))
+        held, waiting = empty(), []
 
-        def made(codes, n, m):
-            return pa.RecordBatch.from_arrays([pa.array(codes >> 32), pa.array(codes), pa.array(n), pa.array(m)], ["top", "code", "n", "m"])
+        def made(held):
+            # passed on in slices, so that no second copy of all is made
+            for low in range(0, max(1, len(held[0])), SUBTREE_ROWS):
+                codes, n, m = (one[low:low + SUBTREE_ROWS] for one in held)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(codes >> 32), pa.array(codes), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))],
+                    ["top", "code", "n", "m"])
 
         for batch in batches:
             left_out = batch.column("held_out").to_pylist()
@@ -296,15 +321,18 @@ def run_counts(rows: DataFrame) -> DataFrame:
                         part.sort()
                         first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[:len(part)])
                         times = np.diff(np.append(first, len(part)))
+                        times = times.astype(np.int32)
                         waiting.append((part[first], times * (not kind), times))
-                        if sum(len(one[0]) for one in waiting) >= SUBTREE_ROWS * 4:
-                            held, waiting = merged(), []
+                        del part, first, times
+                        if sum(len(one[0]) for one in waiting) >= SUBTREE_ROWS * 2:
+                            _absorb(held, waiting)
                             if len(held[0]) > COUNTED_RUNS:
-                                yield made(*held)
-                                held = (nothing, nothing, nothing)
-        yield made(*merged())
+                                yield from made(held)
+                                held = empty()
+        _absorb(held, waiting)
+        yield from made(held)
 
-    return (rows.select("held_out", "text").mapInArrow(count, "top long, code long, n long, m long").repartition("top")
+    return (rows.select("held_out", "text").mapInArrow(released(count), "top long, code long, n long, m long").repartition("top")
             .groupBy("top", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
 
 
@@ -389,7 +417,7 @@ def subtrees(counts: DataFrame) -> DataFrame:
         if held:
             yield from done(held)
 
-    return counts.sortWithinPartitions("code").select("code", "n", "m").mapInArrow(run, SUBTREES)
+    return counts.sortWithinPartitions("code").select("code", "n", "m").mapInArrow(released(run), SUBTREES)
 
 
 class RunTable:
@@ -471,16 +499,16 @@ def run_model(runs: DataFrame) -> Model:
 
 
 def run_values(runs: DataFrame, model) -> DataFrame:
-    """(code, value) of runs."""
+    """(code, value) of runs; ``model`` shares the arrays of one, as executors may not know its class."""
 
     def run(batches):
         for batch in batches:
             codes = batch.column("code").to_numpy()
             below = batch.column("below").flatten().to_numpy().reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(model.value.run_values(codes, below).astype(np.float32))],
+            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(run_logs(model.value, codes, below).astype(np.float32))],
                                              ["code", "value"])
 
-    return runs.select("code", "below").mapInArrow(run, "code long, value float")
+    return runs.select("code", "below").mapInArrow(released(run), "code long, value float")
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -505,7 +533,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
                     held.clear()
         yield rows()
 
-    return texts.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(released(count), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def frequency_floor(counts: DataFrame, bound: int) -> int | None:
@@ -577,12 +605,12 @@ def report(docs: DataFrame, bound: int = FREQUENT_TOKENS, run_bound: int = FREQU
     frequent = context.broadcast({
         token: math.log10(count + 1) for token, count in zip(table.column("token").to_pylist(), table.column("n").to_pylist())})
     runs = stage(subtrees(run_counts(rows)))
-    model = context.broadcast(run_model(runs))
+    model = context.broadcast(vars(run_model(runs)))
     runs = runs.filter("code is not null").withColumn("level", F.floor(F.log2("m") * 32))
     run_floor = frequency_floor(runs, run_bound)
     top_runs = run_values(runs.filter(F.col("level") >= run_floor) if run_floor is not None else runs.limit(0), model).toArrow()
     frequent_runs = context.broadcast((top_runs.column("code").to_numpy(), top_runs.column("value").to_numpy()))
-    scored = stage(rows.select(KEY, "doc_id", "held_out", "text").mapInArrow(_scored(frequent, frequent_runs), SCORED))
+    scored = stage(rows.select(KEY, "doc_id", "held_out", "text").mapInArrow(released(_scored(frequent, frequent_runs)), SCORED))
     others = counts if floor is None else counts.filter(F.col("level") < floor)
     met = scored.select(KEY, F.inline(F.arrays_zip("rare", "times"))).withColumnRenamed("rare", "token").join(others, "token")
     rare = met.groupBy(KEY).agg(
