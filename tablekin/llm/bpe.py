@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import shipped, stage
+from tablekin.llm.common import released, shipped, stage
 
 shipped(__name__)
 
@@ -135,7 +135,7 @@ def word_counts(docs: DataFrame, model: str) -> DataFrame:
                     words.clear()
         yield counted()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_table(docs: DataFrame, model: str, bound: int = TABLE_WORDS) -> dict[str, bytes]:
@@ -158,7 +158,7 @@ def word_table(docs: DataFrame, model: str, bound: int = TABLE_WORDS) -> dict[st
             words = batch.column("word")
             yield pa.RecordBatch.from_arrays([words, pa.array(map(ids, words.to_pylist()), pa.binary())], ["word", "ids"])
 
-    table = counts.filter(level >= least).select("word").mapInArrow(encode, "word string, ids binary").toArrow()
+    table = counts.filter(level >= least).select("word").mapInArrow(released(encode), "word string, ids binary").toArrow()
     return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist()))
 
 
@@ -186,7 +186,7 @@ def encode(docs: DataFrame, path: str, bound: int = TABLE_WORDS) -> DataFrame:
                 [*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))], [*batch.schema.names, name])
 
     schema = docs.select("*", F.lit(None).cast("array<int>").alias(name)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -199,7 +199,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             made = [text(one.values.to_numpy()) if one.is_valid else "" for one in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), ids).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), ids).mapInArrow(released(run), "doc_id long, text string")
 
 
 def report(docs: DataFrame, path: str, bound: int = TABLE_WORDS) -> DataFrame:

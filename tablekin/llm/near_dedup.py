@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import KEY, keyed, keyed_whole, shipped, stage, without
+from tablekin.llm.common import KEY, keyed, keyed_whole, released, shipped, stage, without
 from tablekin.llm.components import components
 
 shipped(__name__)
@@ -40,7 +40,7 @@ SHORT_TAKEN, SHORT_SKETCHES, SHORT_UPTO, LONG_FROM = 2, 12, 24, 16
 BROADCAST_IDS = 2_000_000
 GROUP = 1_000  # rows of a bucket that are compared in one task; larger buckets make several groups
 COLUMNS = 4096  # k-mers counted at once
-MEMORY_WORDS = 500_000  # word hashes a task remembers
+MEMORY_WORDS = 200_000  # word hashes a task remembers
 
 _random = np.random.default_rng(20190712)
 SEEDS = _random.integers(1, 2**63, SKETCHES, dtype=np.uint64)
@@ -180,7 +180,7 @@ def _verified(batches):
 def _verify(pairs: DataFrame, kmers: DataFrame) -> DataFrame:
     side = lambda node, name: kmers.select(F.col("node").alias(node), F.col("kmers").alias(name))
     return stage(pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
-                 .mapInArrow(_verified, "a long, b long"))
+                 .mapInArrow(released(_verified), "a long, b long"))
 
 
 def common_counts(kmers: list[np.ndarray]) -> np.ndarray:
@@ -271,7 +271,7 @@ def find_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     known = None
     if candidates.count() <= BROADCAST_IDS:
         known = np.sort(candidates.toPandas()["node"].to_numpy(np.int64))
-    kmers = texts.mapInArrow(_kmers_of(known), "node long, kmers array<int>")
+    kmers = texts.mapInArrow(released(_kmers_of(known)), "node long, kmers array<int>")
     kmers = stage(kmers if known is not None else kmers.join(candidates, "node", "left_semi"))
     # first the smallest document of the bucket shared most often
     met = shared.filter("node <> rep").groupBy("node", "rep").count()
@@ -281,13 +281,13 @@ def find_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     groups = _open_groups(shared.select("bucket", "node"), edges).join(kmers, "node")
     order = ["bucket", "low", "high"]
     more = groups.repartition(*order).sortWithinPartitions(*order, "node").select(*order, "node", "class", "kmers")
-    return edges.unionByName(stage(more.mapInArrow(_grouped, "a long, b long")))
+    return edges.unionByName(stage(more.mapInArrow(released(_grouped), "a long, b long")))
 
 
 def classes(rows: DataFrame) -> DataFrame:
     """Of keyed rows: _key, doc_id, class_id (doc_id of the first document of the class) and kept (is that document)."""
     texts = rows.select(KEY, "text")
-    sketched = stage(texts.mapInArrow(_sketched, f"{KEY} long, same binary, buckets array<long>"))
+    sketched = stage(texts.mapInArrow(released(_sketched), f"{KEY} long, same binary, buckets array<long>"))
     equal = sketched.filter("same is not null").groupBy("same").agg(F.min(KEY).alias("node"))
     nodes = sketched.join(equal.select(F.col("node").alias(KEY)), KEY, "left_semi").select(F.col(KEY).alias("node"), "buckets")
     roots = components(find_links(nodes, texts))

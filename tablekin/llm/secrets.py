@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekin.llm.common import ROW, keyed_whole, shipped
+from tablekin.llm.common import ROW, by_value, opened, released, shipped
 
 shipped(__name__)
 
@@ -291,10 +291,13 @@ def viterbi(score: np.ndarray, field: Field, first: np.ndarray, last: np.ndarray
     return tags[::-1]
 
 
+BATCH_ROWS = 1_000  # rows whose texts are made at once
+
+
 class Shapes(dict):
     """Token to the row of its shape; shapes are few, tokens are forgotten now and then."""
 
-    MOST = 300_000
+    MOST = 100_000
 
     def __init__(self, field: Field):
         super().__init__()
@@ -364,7 +367,7 @@ def fit(docs: DataFrame) -> Field:
     n = docs.count()
     share = min(1.0, SAMPLE_DOCUMENTS / max(n, 1))
     picked = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    snippets = picked.distinct().mapInArrow(_snippets, SNIPPETS).orderBy("at", "text").limit(SAMPLE_SNIPPETS).toArrow()
+    snippets = picked.distinct().mapInArrow(released(_snippets), SNIPPETS).orderBy("at", "text").limit(SAMPLE_SNIPPETS).toArrow()
     columns = [snippets.column(name).to_pylist() for name in ("at", "text", "marks", "file")]
     return train(list(zip(*columns)) + _fixed_examples())
 
@@ -378,10 +381,10 @@ REPORT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans and the number of added spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    shared = by_value(docs.sparkSession, fit(docs))
 
     def run(batches):
-        field = shared.value
+        field = opened(shared)
         shapes = Shapes(field)
         for batch in batches:
             rows = []
@@ -394,40 +397,39 @@ def report(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(7)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, REPORT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), REPORT)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """All rows with their columns; found values are replaced in text, and n_chars (if any) follows."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    shared = by_value(docs.sparkSession, fit(docs))
+
+    def clean(text: str | None, field: Field, shapes: Shapes) -> str | None:
+        pieces, at = [], 0
+        for start, kind, end in all_spans(text, field, shapes) if text else []:
+            start, end = _value(text, start, kind, end)
+            if end > at:
+                pieces += [text[at:max(start, at)], mark]
+                at = end
+        return "".join([*pieces, text[at:]]) if pieces else text
 
     def run(batches):
-        field = shared.value
+        field = opened(shared)
         shapes = Shapes(field)
-        for batch in batches:
-            made = []
-            for text in batch.column("text"):
-                said = text.as_py()
-                if said:
-                    pieces, at = [], 0
-                    for start, kind, end in all_spans(said, field, shapes):
-                        start, end = _value(said, start, kind, end)
-                        if end > at:
-                            pieces += [said[at:max(start, at)], mark]
-                            at = end
-                    said = "".join(pieces) + said[at:]
-                made.append(said)
-            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(made, pa.string())], [ROW, "_clean"])
-
-    rows = keyed_whole(docs).select(ROW, "text")
-    schema = T.StructType([rows.schema[ROW], T.StructField("_clean", T.StringType())])
-    clean = rows.mapInArrow(run, schema)
+        for whole in batches:
+            for low in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(low, BATCH_ROWS)
+                made = [clean(text.as_py(), field, shapes) for text in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(made, pa.string())], [ROW, "text"])
+
+    # the text goes to Python once, the other columns beside it
+    others = [F.col(f"`{name}`") for name in docs.columns if name != "text"]
+    rows = docs.select(F.struct(*others, F.lit(0).alias("_none")).alias(ROW), "text")
+    cleaned = rows.mapInArrow(released(run), rows.schema)
     columns = []
     for field in docs.schema:
-        column = F.col(f"{ROW}.`{field.name}`")
-        if field.name == "text":
-            column = F.col("_clean")
-        elif field.name == "n_chars":
-            column = F.char_length(F.coalesce("_clean", F.lit(""))).cast(field.dataType)
+        column = F.col(f"{ROW}.`{field.name}`") if field.name != "text" else F.col("text")
+        if field.name == "n_chars":
+            column = F.char_length(F.coalesce("text", F.lit(""))).cast(field.dataType)
         columns.append(column.alias(field.name))
-    return clean.select(*columns)
+    return cleaned.select(*columns)
