@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import shipped
+from tablekin.llm.common import by_value, opened, released, shipped
 from tablekin.llm.near_dedup import words_of
 
 shipped(__name__)
@@ -310,14 +310,14 @@ REPORT = ["doc_id", "n_paragraphs", "n_licences", "n_unconfirmed", "families", "
 def report(docs: DataFrame) -> DataFrame:
     """Per document: paragraphs, those under a confirmed and an unconfirmed licence, families, and
     spans (family:start:end of the paragraph in code points) of the confirmed ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    shared = by_value(docs.sparkSession, fit(docs))
 
     def run(batches):
-        ids = WordIds()
+        known, ids = opened(shared), WordIds()
         for batch in batches:
             rows = []
             texts = [text.as_py() or "" for text in batch.column("text")]
-            for n, found in scan(texts, shared.value, ids):
+            for n, found in scan(texts, known, ids):
                 good = [key for key, sure in found if sure]
                 rows.append((n, len(good), len(found) - len(good), ",".join(sorted({family for _, _, family in good})),
                              ",".join(f"{family}:{a}:{b}" for a, b, family in good)))
@@ -326,4 +326,4 @@ def report(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), *[pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)]], REPORT)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_paragraphs long, n_licences long, n_unconfirmed long, families string, spans string")
+        released(run), "doc_id long, n_paragraphs long, n_licences long, n_unconfirmed long, families string, spans string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import KEY, keyed_whole, labelled_sample, shipped, without
+from tablekin.llm.common import KEY, keyed_whole, labelled_sample, released, shipped, without
 
 shipped(__name__)
 
@@ -83,7 +83,7 @@ def _counted(batches):
 def text_statistics(docs: DataFrame) -> DataFrame:
     """COUNTS of every row; ``_key`` goes along where there is one."""
     key = F.col(KEY) if KEY in docs.columns else F.lit(None).cast("long")
-    return docs.select(key.alias(KEY), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted, STATISTICS)
+    return docs.select(key.alias(KEY), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(_counted), STATISTICS)
 
 
 def _share(top: str, bottom: str) -> Column:
@@ -219,6 +219,8 @@ def fit_rules(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> l
     """Rules from at most ``bound`` labelled documents, which ones is fixed by a hash of their ids."""
     sample = labelled_sample(labels, "quality", bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    # one text of each picked id, so that the bound holds for rows too
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     columns = features()
     rows = (text_statistics(texts).join(F.broadcast(sample), "doc_id")
             .select("doc_id", "label", *[column.alias(name) for name, column in columns.items()]).toPandas()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import KEY, id_remainder, keyed_whole, shipped, without
+from tablekin.llm.common import KEY, by_value, id_remainder, keyed_whole, opened, released, shipped, without
 from tablekin.llm.near_dedup import words_of
 
 shipped(__name__)
@@ -349,16 +349,19 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, boun
     picked = known.filter(F.when(F.col("toxic"), place < int(shares.get(True, 1) * (1 << 30))).otherwise(place < int(shares.get(False, 1) * (1 << 30))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").filter(
         F.char_length("text") <= SAMPLE_CHARS)
+    # one text of each picked id, so that the bound holds for rows too
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = sorted(texts.select("doc_id", "text", "toxic").collect(), key=lambda r: (r["doc_id"], r["text"]))
     return train([words_of(r["text"]) for r in rows], np.array([r["toxic"] for r in rows], bool))
 
 
 def scored(rows: DataFrame, network: Network | None) -> DataFrame:
     """_key, doc_id and score of keyed rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(network)
+    shared = by_value(rows.sparkSession, network)
 
     def run(batches):
-        scorer = Scorer(shared.value) if shared.value is not None else None
+        known = opened(shared)
+        scorer = Scorer(known) if known is not None else None
         for batch in batches:
             parts, group, size = [np.zeros(0)], [], 0
             # few texts are held as words at a time
@@ -373,7 +376,7 @@ def scored(rows: DataFrame, network: Network | None) -> DataFrame:
                 [batch.column(KEY), batch.column("doc_id"), pa.array(np.concatenate(parts).astype(float))],
                 [KEY, "doc_id", "score"])
 
-    return rows.select(KEY, "doc_id", "text").mapInArrow(run, f"{KEY} long, doc_id long, score double")
+    return rows.select(KEY, "doc_id", "text").mapInArrow(released(run), f"{KEY} long, doc_id long, score double")
 
 
 def in_training() -> Column:
