@@ -691,6 +691,12 @@ FINAL: dict[str, str] = {
     "prep_sample_queries": """SELECT DISTINCT table_name FROM sides WHERE side = 'query'
         ORDER BY md5(table_name), table_name LIMIT 5""",
     "grid_metrics": _grid_sql(),
+    "vector_store_delta": f"""SELECT 'hash' AS method, {UNIT}, dim, round(weight, 6) AS weight,
+            starts_with(table_name, 'events__') OR starts_with(table_name, 'part__') AS rebuilt
+        FROM hash_vec_1000
+        UNION ALL SELECT 'tfidf', {UNIT}, dim, round(weight, 6), true FROM tfidf_vec""",
+    "stored_runs": f"""SELECT *, 'completed' AS status FROM ({_grid_sql()})
+        WHERE agg = 'max' AND sample_size = 1000""",
 }
 
 LOCAL_PARTS = {"unionable_topk_encoder": ENCODED}

@@ -31,12 +31,14 @@ from tablekin.operators import (
     texts,
     typing,
 )
-from tablekin.plans import experiments, ranking
+from tablekin.plans import experiments, ranking, stored_vectors
 from tablekin.plans.overlap_report import OverlapReport
 from tablekin.plans.profile_report import ProfileReport
 from tablekin.schema import COLUMN, LAKE, QUERY, TABLE
 from tablekin.sources.csv_lake import read_csv_lake
 from tablekin.sources.frames_lake import read_parquet_lake
+from tablekin.sources.result_store import ResultStore
+from tablekin.sources.vector_store import VectorStore, table_prints
 
 K = 10
 N_FEATURES = 4096
@@ -596,6 +598,51 @@ def grid_metrics(w: Stored) -> DataFrame:
         "p", "r", "f1", "map")
 
 
+def vector_store_delta(w: Stored) -> DataFrame:
+    """Stored vectors of a lake that changed, and whether their table was worked through again.
+
+    Before the change there were no events, other part keys, and a table that is gone now.
+    """
+    cells, meta = w.lake.cells, w.lake.meta
+    gone = F.col("table_name") == "nation__all"
+
+    def before(frame: DataFrame) -> DataFrame:
+        return frame.filter(~F.col("table_name").startswith("events__")).unionByName(
+            frame.filter(gone).withColumn("table_name", F.lit("gone__all")))
+
+    other_keys = before(cells).withColumn("value", F.when(
+        F.col("col_name") == "p_partkey", F.concat("value", F.lit("0"))).otherwise(F.col("value")))
+    old, new = (other_keys, before(meta)), (cells, meta)
+    old_prints, new_prints = cut(table_prints(*old)), cut(table_prints(*new))
+    store = VectorStore(w.lake.spark, f"{shared_folder(w.lake.spark)}/vectors-{uuid.uuid4().hex}")
+    found = []
+    for method in ("hash", "tfidf"):
+        params = ranking.full_params(method, SPARSE[method])
+        stored_vectors.refreshed_vectors(store, "carved", method, params, *old, prints=old_prints)
+        was = store.table_versions("carved", method, params).select(*TABLE, F.col("version").alias("was"))
+        vectors, _ = stored_vectors.refreshed_vectors(store, "carved", method, params, *new, prints=new_prints)
+        # one row per table
+        versions = store.table_versions("carved", method, params).join(was, TABLE, "left").select(
+            *TABLE, (~F.col("version").eqNullSafe(F.col("was"))).alias("rebuilt"))
+        found.append(vectors.join(versions, TABLE).withColumn("method", F.lit(method)))
+    return _round(found[0].unionByName(found[1]), "weight").select("method", *COLUMN, "dim", "weight", "rebuilt")
+
+
+def stored_runs(w: Stored) -> DataFrame:
+    """Records read back of a run that stopped after its first job and went on with two jobs at once."""
+    spark = w.lake.spark
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    vectors, results = VectorStore(spark, f"{folder}/vectors"), ResultStore(f"{folder}/results")
+    jobs = [experiments.Job(method, SPARSE[method], {"agg": "max"}) for method in ("hash", "count", "tfidf")]
+    args = (spark, "carved", w.lake.cells, w.lake.meta, w.lake.gt)
+    run = experiments.run_jobs(*args, jobs[:1], vectors, results, K, exclude_self=True)
+    experiments.run_jobs(*args, jobs, vectors, results, K, exclude_self=True, run=run, workers=2)
+    told = results.runs(spark).select(
+        "method", "status", F.col("embedding_params")["sample_size"].cast("int").alias("sample_size"),
+        F.col("eval_params")["agg"].alias("agg"), F.inline("metrics"))
+    return _round(told.withColumn("cutoff", F.col("cutoff").cast("int")), "p", "r", "f1", "map")
+
+
 QUERIES: dict[str, Callable[[Stored], DataFrame]] = {
     "lake_cells": lake_cells,
     "parquet_lake_cells": parquet_lake_cells,
@@ -679,6 +726,8 @@ QUERIES: dict[str, Callable[[Stored], DataFrame]] = {
     "prep_truncate": prep_truncate,
     "prep_sample_queries": prep_sample_queries,
     "grid_metrics": grid_metrics,
+    "vector_store_delta": vector_store_delta,
+    "stored_runs": stored_runs,
 }
 
 

@@ -9,8 +9,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from hashlib import md5
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +27,10 @@ from tablekin.plans.ranking import (
     rank_sparse,
     sparse_vectors,
 )
+from tablekin.plans.stored_vectors import refreshed_vectors
 from tablekin.schema import QUERY
 from tablekin.sources.result_store import ResultStore
-from tablekin.sources.vector_store import VectorStore
+from tablekin.sources.vector_store import VectorStore, table_prints
 
 # The default grid. 'encoder' stands for a sentence encoder given by the user.
 DEFAULT_GRID: dict[str, dict[str, dict[str, list]]] = {
@@ -164,33 +167,43 @@ def grid_metrics(cells: DataFrame, columns_meta: DataFrame, gt: DataFrame, jobs:
 def run_jobs(spark: SparkSession, benchmark: str, cells: DataFrame, columns_meta: DataFrame,
              gt: DataFrame, jobs: list[Job], vectors: VectorStore, results: ResultStore,
              k: int = 10, exclude_self: bool = False, encoder: Callable | None = None,
-             n_queries: int | None = None) -> None:
-    """Runs jobs one after another and stores a record of each, failed ones included.
+             n_queries: int | None = None, run: str | None = None, workers: int = 1) -> str:
+    """Runs jobs and stores a record of each, failed ones included; returns the name of the run.
 
-    Vectors are taken from the store if they are there for this benchmark, these parameters and
-    this encoder, else built and stored; building is the offline time, searching and scoring the
-    online time. A record that cannot be written is warned of and does not stop the others.
+    Vectors are taken from the store as far as it has them for this benchmark, these parameters, this
+    encoder and the tables as they are, else built and stored; building is the offline time, searching and
+    scoring the online time. A record that cannot be written is warned of and does not stop the others.
+
+    A run that was stopped goes on if its name is given as ``run``: jobs with a record are left out unless
+    they failed. Up to ``workers`` jobs run at once, each in a scheduler pool of its own; jobs with equal
+    vectors wait for the one that builds them.
     """
     gt = asked(gt, columns_meta)
-    run = uuid.uuid4().hex
-    for job in jobs:
+    finished = set() if run is None else results.finished(spark, run)
+    run = run or uuid.uuid4().hex
+    prints = cut(table_prints(cells, columns_meta))
+
+    def start(job: Job) -> dict[str, Any]:
         # The names of a record's fields and the words for its status.
-        record: dict[str, Any] = {
+        return {
             "run": run, "benchmark": benchmark, "method": job.method, "k": k, "exclude_self": exclude_self,
             "embedding_params": {k_: str(v) for k_, v in job.embedding_params.items()},
             "eval_params": {k_: str(v) for k_, v in job.eval_params.items()},
             "status": "started", "error": None, "traceback": None, "offline": None,
             "online": None, "vector_path": None,
         }
+
+    def work(job: Job) -> None:
+        record = start(job)
         metrics = detail = None
         try:
             started = time.time()
             params = full_params(job.method, job.embedding_params, encoder)
-            stored, reused = vectors.get_or_build(
-                benchmark, job.method, params, lambda: _vectors(cells, columns_meta, job, encoder))
-            record["offline"] = 0.0 if reused else time.time() - started
+            stored, n_built = refreshed_vectors(
+                vectors, benchmark, job.method, job.embedding_params, cells, columns_meta, encoder, prints)
+            record["offline"] = time.time() - started if n_built else 0.0
             record["vector_path"] = vectors.path(benchmark, job.method, params)
-            record["status"] = "embeddings_loaded" if reused else "embeddings_generated"
+            record["status"] = "embeddings_generated" if n_built else "embeddings_loaded"
             if job.eval_params["agg"] == "None" and "threshold" not in job.eval_params:
                 record["status"] = "evaluation_skipped"
                 record["error"] = "matching needs a threshold"
@@ -213,3 +226,16 @@ def run_jobs(spark: SparkSession, benchmark: str, cells: DataFrame, columns_meta
             results.append(spark, record, metrics, detail)
         except Exception as error:
             warnings.warn(f"no record of {results.run_id(record)}: {error}", stacklevel=2)
+
+    def work_in_pool(numbered: tuple[int, Job]) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{run}-{numbered[0]}")
+        work(numbered[1])
+
+    open_jobs = [job for job in jobs if results.run_id(start(job)) not in finished]
+    if workers == 1:
+        for job in open_jobs:
+            work(job)
+    else:
+        with ThreadPool(workers) as threads:
+            threads.map(inheritable_thread_target(spark)(work_in_pool), list(enumerate(open_jobs)), chunksize=1)
+    return run

@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 from tablekin.plans import experiments
 from tablekin.plans.experiments import Job, expand_grid
 from tablekin.plans.ranking import full_params, rank_dense
+from tablekin.plans.stored_vectors import refreshed_vectors
 from tablekin.sources.result_store import ResultStore
 from tablekin.sources.vector_store import VectorStore
 from tests.helpers import gt_of, lake_of
@@ -65,10 +66,8 @@ def test_runs_are_recorded_and_vectors_reused(spark, lake, tmp_path):
     details = spark.read.json(f"{tmp_path}/r/details")
     assert details.select("run_id").distinct().count() == 4
     assert details.filter("list = 'ground_truth'").count() == 4
-    full = full_params("hash", hashed)
-    loaded = vectors.load("b", "hash", full)
-    assert loaded is not None and set(loaded.columns) == {
-        "side", "table_name", "col_pos", "dim", "weight"}
+    loaded, n_built = refreshed_vectors(vectors, "b", "hash", hashed, *lake[:2])
+    assert n_built == 0 and set(loaded.columns) == {"side", "table_name", "col_pos", "dim", "weight"}
     assert vectors.load("b", "hash", {"other": 1}) is None
 
 
@@ -102,8 +101,8 @@ def test_stores_tell_lakes_encoders_and_runs_apart(spark, lake, tmp_path):
     for dim in (2, 3):
         experiments.run_jobs(spark, "one", *lake, [Job("encoder", {}, {"agg": "mean"})], vectors, results,
                              encoder=Constant(dim))
-        stored = vectors.load("one", "encoder", full_params("encoder", {}, Constant(dim)))
-        assert len(stored.first()["vec"]) == dim
+        stored, n_built = refreshed_vectors(vectors, "one", "encoder", {}, *lake[:2], Constant(dim))
+        assert n_built == 0 and len(stored.first()["vec"]) == dim
 
 
 def test_unfinished_vectors_are_not_used(spark, lake, tmp_path):
@@ -124,7 +123,50 @@ def test_a_failing_result_store_does_not_stop_jobs(spark, lake, tmp_path):
     jobs = [Job("hash", {"n_features": n}, {"agg": "max"}) for n in (16, 32)]
     with pytest.warns(UserWarning, match="full"):
         experiments.run_jobs(spark, "one", *lake, jobs, vectors, Broken("nowhere"))
-    assert all(vectors.load("one", "hash", full_params("hash", job.embedding_params)) for job in jobs)
+    assert all(vectors.table_versions("one", "hash", full_params("hash", job.embedding_params)) for job in jobs)
+
+
+def test_a_stopped_run_goes_on_without_second_records(spark, lake, tmp_path):
+    class Stopped(ResultStore):
+        calls = 0
+
+        def _write(self, frame, record, name):
+            self.calls += 1
+            if self.calls == 4:  # the second job's details are there, its record is not
+                raise KeyboardInterrupt
+            super()._write(frame, record, name)
+
+    vectors = VectorStore(spark, f"{tmp_path}/v")
+    jobs = [Job("hash", {"n_features": 64}, {"agg": agg}) for agg in ("max", "mean", "median", "sum")] + [
+        Job("count", {}, {"agg": "max"})]
+    with pytest.raises(KeyboardInterrupt):
+        experiments.run_jobs(spark, "b", *lake, jobs, vectors, Stopped(str(tmp_path)), k=2, run="named")
+    results = ResultStore(str(tmp_path))
+    assert len(results.finished(spark, "named")) == 1
+    first = results.runs(spark).first()
+    for workers in (1, 3):  # the second time only the failed job is tried again
+        assert experiments.run_jobs(spark, "b", *lake, jobs, vectors, results, k=2, run="named", workers=workers) == "named"
+    runs = results.runs(spark).collect()
+    assert sorted((r["method"], r["eval_params"]["agg"], r["status"]) for r in runs) == [
+        ("count", "max", "completed"), ("hash", "max", "completed"), ("hash", "mean", "completed"),
+        ("hash", "median", "failed"), ("hash", "sum", "completed")]
+    assert first in runs and len(results.finished(spark, "named")) == 4
+    details = results.details(spark)
+    assert details.count() == details.distinct().count() and details.select("run_id").distinct().count() == 4
+    assert results.finished(spark, "other") == set()
+
+
+def test_jobs_at_once_build_equal_vectors_once(spark, lake, tmp_path):
+    vectors, results = VectorStore(spark, f"{tmp_path}/v"), ResultStore(f"{tmp_path}/r")
+    jobs = [Job(method, {}, {"agg": agg}) for method in ("count", "tfidf") for agg in ("max", "mean", "sum")]
+    experiments.run_jobs(spark, "b", *lake, jobs, vectors, results, k=2, workers=4)
+    runs = results.runs(spark).collect()
+    assert len(runs) == 6 and {r["status"] for r in runs} == {"completed"}
+    for method in ("count", "tfidf"):
+        assert sum(r["offline"] > 0 for r in runs if r["method"] == method) >= 1
+        full = full_params(method, {})
+        assert vectors.table_versions("b", method, full).select("version").distinct().count() == 1
+        assert len(list((tmp_path / "v").glob(f"*/method={method}/*/vectors/version=*"))) == 1
 
 
 def test_only_query_tables_are_asked_and_a_sample_of_them(lake, spark):
