@@ -1,9 +1,10 @@
 r"""Chat formatting by prefix-target expansion, with DataFrame functions only.
 
 Every assistant turn is one example: all earlier turns are its context, and only that reply is under
-the loss mask. All examples of a conversation are prefixes of one formatted text, so the
-text is stored once and an example is a row of character offsets into it; ``example_texts`` cuts
-them out. Turns after the last reply form a last example without a target, so nothing is lost.
+the loss mask. ``example_rows`` explodes a conversation into them, one row each with its context and target as text;
+``read_back`` reads turns, trained texts and sizes from these rows. All examples of a
+conversation are prefixes of one formatted text, which is what goes through the one shuffle; contexts are cut from it as rows are made.
+Turns after the last reply form a last example without a target, so nothing is lost.
 
 A turn is ``<|im_start|>role\ntext<|im_end|>\n``. Control strings inside a text get a backslash after their
 first character (one more if they have some already), which reading removes. Turns go by turn
@@ -46,7 +47,7 @@ def _role_read(role: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted text and examples (prefix_end, loss_start, loss_end; code points).
+    """conv_id, formatted text and examples (prefix_end, loss_start, loss_end in code points, and the target text).
 
     Offsets are running sums that Spark streams through; only the text of one conversation,
     which is one value of the result, comes together.
@@ -58,56 +59,65 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     rendered = turns.select(
         "conv_id", "turn", role.alias("role"), text.alias("said"),
         F.concat(head, body, F.lit(END + "\n")).alias("chunk"),
-        F.char_length(head).cast("long").alias("head"), F.char_length(body).cast("long").alias("body"))
+        body.alias("body"))
     in_order = Window.partitionBy("conv_id").orderBy(
         F.col("turn").asc_nulls_first(), "role", "said")
     placed = rendered.select(
-        "conv_id", "role", "chunk", "head", "body", F.row_number().over(in_order).alias("at"),
+        "conv_id", "role", "chunk", "body", F.row_number().over(in_order).alias("at"),
         F.sum(F.char_length("chunk").cast("long")).over(
             in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("end"))
     after_text = F.char_length(F.lit(END + "\n"))
     loss_end = F.col("end") - after_text
     example = F.when(F.col("role") == TARGET, F.struct(
-        "at", F.col("end").alias("prefix_end"), (loss_end - F.col("body")).alias("loss_start"),
-        loss_end.alias("loss_end")))
+        "at", F.col("end").alias("prefix_end"), (loss_end - F.char_length("body")).alias("loss_start"),
+        loss_end.alias("loss_end"), F.col("body").alias("target")))
     joined = placed.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("at", "chunk"))).alias("chunks"),
         F.array_sort(F.collect_list(example)).alias("examples"), F.max("end").alias("length"))
     told = F.coalesce(F.get(F.col("examples.prefix_end"), F.size("examples") - 1), F.lit(0))
     tail = F.struct(F.lit(None).cast("int").alias("at"), F.col("length").alias("prefix_end"),
-                    F.col("length").alias("loss_start"), F.col("length").alias("loss_end"))
+                    F.col("length").alias("loss_start"), F.col("length").alias("loss_end"), F.lit("").alias("target"))
     return joined.select(
         "conv_id", F.array_join(F.col("chunks.chunk"), "").alias("formatted"),
         F.when(told < F.col("length"), F.concat("examples", F.array(tail))).otherwise(F.col("examples"))
         .alias("examples"))
 
 
+def example_rows(formatted: DataFrame, *carried: str) -> DataFrame:
+    """One row per example: conv_id, its number, the context, the target and what closes it, all escaped.
+
+    Context, target and close, one after another, are the text of the example. Other columns may be carried along.
+    """
+    e = F.col("e")
+    return formatted.select("conv_id", *carried, "formatted", F.posexplode("examples").alias("example", "e")).select(
+        "conv_id", *carried, "example", F.substring("formatted", F.lit(1), e["loss_start"].cast("int")).alias("context"),
+        e["target"].alias("target"), F.when(e["at"].isNotNull(), END + "\n").otherwise("").alias("close"))
+
+
 def example_texts(formatted: DataFrame) -> DataFrame:
     """One row per example: conv_id, its number, the context and the target text, both escaped."""
-    piece = lambda a, b: F.substring(F.col("formatted"), a.cast("int") + 1, (b - a).cast("int"))
-    return formatted.select("conv_id", "formatted", F.posexplode("examples").alias("example", "e")).select(
-        "conv_id", "example", piece(F.lit(0), F.col("e.loss_start")).alias("context"),
-        piece(F.col("e.loss_start"), F.col("e.loss_end")).alias("target"))
+    return example_rows(formatted).drop("close")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns and trained texts as they stand in the output: conv_id, turns (role, text), trained."""
+    """What the output says, one row per example: conv_id, n_turns and turns_sha256 of its conversation, the number of the
+    example, the trained text and the characters of its context, target and close."""
     roles = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(1))
     texts = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(2))
-    turns = F.zip_with(roles, texts, lambda role, text: F.struct(
-        _role_read(role).alias("role"), unescape(text).alias("text")))
-    trained = F.transform("examples", lambda e: unescape(F.substring(
-        F.col("formatted"), e["loss_start"].cast("int") + 1, (e["loss_end"] - e["loss_start"]).cast("int"))))
-    total = F.aggregate("examples", F.lit(0).cast("long"), lambda acc, e: acc + e["prefix_end"])
-    return formatted.select("conv_id", turns.alias("turns"), trained.alias("trained"), total.alias("formatted_chars"))
+    said = F.zip_with(roles, texts, lambda role, text: F.concat(_role_read(role), F.lit("\n"), unescape(text), F.lit("\n")))
+    turns = formatted.select("conv_id", "formatted", "examples", F.size(said).cast("long").alias("n_turns"),
+                             F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"))
+    chars = F.char_length("context").cast("long") + F.char_length("target") + F.char_length("close")
+    return example_rows(turns, "n_turns", "turns_sha256").select(
+        "conv_id", "n_turns", "turns_sha256", "example", unescape(F.col("target")).alias("trained"), chars.alias("chars"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars (of all examples)."""
-    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.array_join("trained", "")
-    return read_back(formatted).select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
-        F.col("formatted_chars"))
+    # rows of a conversation lie together already; only its trained texts and numbers are gathered
+    whole = read_back(formatted).groupBy("conv_id", "n_turns", "turns_sha256").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("example", "trained")))["trained"], "").alias("loss"),
+        F.sum("chars").alias("formatted_chars"))
+    return whole.select(
+        "conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
