@@ -6,8 +6,10 @@ confirm counts once, from its first line to its last, in place of what its lines
 logistic regression over words and word pairs gives each window a licence family or "unknown". It is trained
 in numpy on variants of licence notices (cut, with dropped words, inside other text) against
 lines of a bounded sample of the documents and near misses; its probabilities are calibrated on examples kept
-back. A predicted family counts once a template confirms it: most of a notice's word triples
-must stand in the window.
+back. Where notices are likelier than not, every family of some probability counts once a template confirms it: most of
+a notice's word triples must stand in the window, more than of any notice of another family at that place, and a word that tells the
+family from those it is named after (Affero, Lesser, NoDerivatives). So one notice has one family. A paragraph
+that confirms no family is left unconfirmed, under the likeliest one.
 
 Null and empty texts have no paragraphs. Repeated rows are scanned one by one; without documents
 the near misses are the only other text. Other columns are ignored.
@@ -36,22 +38,29 @@ NOTICES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
         "Licensed under the BSD 3-Clause License", "Released under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY": [
-        "This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0",
-        "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-NC": [
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0",
-        "Released under CC BY-NC-SA 4.0 for noncommercial use only", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY": ["Licensed under CC BY 4.0", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0", "Released under CC BY-NC-SA 4.0 for noncommercial use only", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "SPDX-License-Identifier: CC-BY-ND-4.0"],
     "CC-BY-SA": [
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0",
-        "Text is available under the Creative Commons Attribution-ShareAlike License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+        "Licensed under CC BY-SA 4.0", "Text is available under the Creative Commons Attribution-ShareAlike License",
+        "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License, version 3", "Licensed under the GNU AGPL version 3 or later",
+        "SPDX-License-Identifier: AGPL-3.0-or-later", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License", "SPDX-License-Identifier: EPL-2.0"],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Released under the ISC License", "SPDX-License-Identifier: ISC"],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU GPL version 2 or later",
-        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
-        "SPDX-License-Identifier: GPL-3.0-or-later"],
+        "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only"],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1",
-        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-3.0-only"],
+        "Licensed under the GNU LGPL version 3 or later", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "MIT": [
         "Released under the MIT License", "Licensed under the MIT license", "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
@@ -63,6 +72,26 @@ NOTICES = {
         "This work is dedicated to the public domain under CC0 1.0 Universal", "This is free and unencumbered software released into the public domain",
         "Licensed under CC0 1.0", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense"],
 }
+# fixed values: notices of one wording for several licences and versions
+GNU = "it under the terms of the {} as published by the Free Software Foundation, either version {} of the License"
+GNU_NAMES = [
+    ("AGPL", "GNU Affero General Public License", ["3"]), ("GPL", "GNU General Public License", ["2", "3"]),
+    ("LGPL", "GNU Lesser General Public License", ["2.1", "3"]), ("LGPL", "GNU Library General Public License", ["2"])]
+CC = "This work is licensed under a Creative Commons {} {} License"
+CC_NAMES = [
+    ("CC-BY", "Attribution"), ("CC-BY-NC", "Attribution-NonCommercial"), ("CC-BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    ("CC-BY-NC-ND", "Attribution-NonCommercial-NoDerivs"), ("CC-BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("CC-BY-ND", "Attribution-NoDerivatives"), ("CC-BY-ND", "Attribution-NoDerivs"), ("CC-BY-SA", "Attribution-ShareAlike")]
+CC_VERSIONS = ["4.0 International", "3.0 Unported"]
+for _family, _name, _versions in GNU_NAMES:
+    NOTICES[_family] += [GNU.format(_name, version) for version in _versions]
+for _family, _name in CC_NAMES:
+    NOTICES[_family] += [CC.format(_name, version) for version in CC_VERSIONS]
+# fixed values: words of which a notice of the family has one
+NEEDED = {
+    "AGPL": {b"affero", b"agpl"}, "LGPL": {b"lesser", b"library", b"lgpl"}, "CC-BY-NC": {b"noncommercial", b"nc"},
+    "CC-BY-NC-ND": {b"noderivatives", b"noderivs", b"nd"}, "CC-BY-NC-SA": {b"sharealike", b"sa"},
+    "CC-BY-ND": {b"noderivatives", b"noderivs", b"nd"}, "CC-BY-SA": {b"sharealike", b"sa"}}
 NEAR_MISSES = [
     "Her driving license was renewed in the spring", "The bar lost its liquor license last year", "He is a licensed physician in two states",
     "She studied at MIT before she moved to the public sector", "The Apache helicopter landed near the general store",
@@ -80,8 +109,10 @@ VARIANTS = 24  # training variants of each notice
 SAMPLE_DOCUMENTS, SAMPLE_LINES = 2_000, 6_000
 SAMPLE_CHARS = 50_000
 EPOCHS, BATCH, RATE = 12, 64, 0.5
-CERTAIN = 0.5  # least calibrated probability of a family
+CERTAIN = 0.5  # least calibrated probability of all families together
+POSSIBLE = 0.02  # least calibrated probability of a family that a template may confirm
 CONFIRMED = 0.6  # least share of a notice's word triples in a window
+GROUP = 4_096  # windows scored at once
 KNOWN_WORDS = 500_000
 
 
@@ -131,7 +162,7 @@ class Classifier:
 def _examples(lines: list[list[bytes]]) -> tuple[list[list[bytes]], list[int]]:
     """Windows and their families, for training and calibration."""
     draw = random.Random(9)
-    other = [one for one in lines if not any(confirmed(one, family) for family in FAMILIES)]
+    other = [one for one in lines if not confirmed(one)]
     filler = other or [words_of(text) for text in NEAR_MISSES]
     words, kinds = [], []
     for number, family in enumerate(FAMILIES):
@@ -196,29 +227,50 @@ def _triples(words: list[bytes]) -> set[tuple]:
     return set(zip(words, words[1:], words[2:])) if len(words) > 2 else {tuple(words)}
 
 
-TRIPLES = {family: [_triples(words_of(notice)) for notice in notices] for family, notices in NOTICES.items()}
+TEMPLATES = [(family, _triples(words_of(notice))) for family in FAMILIES for notice in NOTICES[family]]
+HOLDERS: dict[tuple, list[int]] = {}
+for _number, (_, _own) in enumerate(TEMPLATES):
+    for _triple in _own:
+        HOLDERS.setdefault(_triple, []).append(_number)
 
 
-def confirmed(words: list[bytes], family: str) -> bool:
-    """Whether a window holds most of one of the family's notices."""
-    own = _triples(words)
-    return any(len(own & notice) >= CONFIRMED * len(notice) for notice in TRIPLES[family])
+def confirmed(words: list[bytes]) -> list[tuple[str, int, list[int]]]:
+    """(family, notice, places of its triples) of the notices that a window holds most of.
 
-
-def crossing(words: list[bytes], lines: list[int], family: str) -> list[tuple[int, int, int]]:
-    """(notice, first line, last line) of the family's notices that a window holds and no single line of it does."""
+    A notice counts if it explains more triples than any of another family where it stands.
+    """
     places = list(zip(words, words[1:], words[2:]))
+    held: dict[int, list[int]] = {}
+    for i, triple in enumerate(places):
+        for number in HOLDERS.get(triple, ()):
+            held.setdefault(number, []).append(i)
+    good = []
+    for number, at in sorted(held.items()):
+        explained = len({places[i] for i in at})
+        if explained >= CONFIRMED * len(TEMPLATES[number][1]):
+            good.append((TEMPLATES[number][0], number, at, explained))
     out = []
-    for number, notice in enumerate(TRIPLES[family]):
-        at = [i for i, triple in enumerate(places) if triple in notice]
-        if len({places[i] for i in at}) < CONFIRMED * len(notice):
+    for family, number, at, explained in good:
+        needed = NEEDED.get(family)
+        if needed and needed.isdisjoint(words[at[0]:at[-1] + 3]):
             continue
+        if all(more < explained for other, _, there, more in good
+               if other != family and there[0] < at[-1] + 3 and at[0] < there[-1] + 3):
+            out.append((family, number, at))
+    return out
+
+
+def crossing(words: list[bytes], lines: list[int]) -> list[tuple[str, int, int, int]]:
+    """(family, notice, first line, last line) of the notices that a window holds and no single line of it does."""
+    places = list(zip(words, words[1:], words[2:]))
+    out = []
+    for family, number, at in confirmed(words):
         alone = {}
         for i in at:
             if lines[i] == lines[i + 2]:
                 alone.setdefault(lines[i], set()).add(places[i])
-        if all(len(own) < CONFIRMED * len(notice) for own in alone.values()):
-            out.append((number, lines[at[0]], lines[at[-1] + 2]))
+        if all(len(own) < CONFIRMED * len(TEMPLATES[number][1]) for own in alone.values()):
+            out.append((family, number, lines[at[0]], lines[at[-1] + 2]))
     return out
 
 
@@ -244,17 +296,27 @@ def scan(texts: list[str], model: Classifier, ids: WordIds) -> list[tuple[int, l
         if not group:
             return
         p = model.probabilities(model.logits(*feature_rows(group, ids)))
-        for i in np.flatnonzero((p[:, :UNKNOWN].max(1) >= CERTAIN)):
-            family = FAMILIES[int(p[i, :UNKNOWN].argmax())]
+        for i in np.flatnonzero(p[:, :UNKNOWN].sum(1) >= CERTAIN):
+            possible = {FAMILIES[f] for f in np.flatnonzero(p[i, :UNKNOWN] >= POSSIBLE)}
             owner, start, end, lines = where[i]
             if lines is None:
-                out[owner][1].append((start, end, family, confirmed(group[i], family)))
+                sure = {family for family, _, _ in confirmed(group[i])} & possible
+                out[owner][1].extend((start, end, family, True) for family in sure)
+                if not sure:
+                    out[owner][1].append((start, end, FAMILIES[int(p[i, :UNKNOWN].argmax())], False))
             else:
-                for notice, first, last in crossing(group[i], lines, family):
-                    wrapped[owner].add((start[first], end[last], family, notice))
+                for family, notice, first, last in crossing(group[i], lines):
+                    if family in possible:
+                        wrapped[owner].add((start[first], end[last], family, notice))
         group.clear()
         where.clear()
 
+    def put(words, place):
+        group.append(words)
+        where.append(place)
+        if len(group) >= GROUP:
+            flush()
+
     def across(owner, block):
         """Windows over the lines of a block, as far as they hold more than one."""
         if len(block) > 1:
@@ -263,8 +325,7 @@ def scan(texts: list[str], model: Classifier, ids: WordIds) -> list[tuple[int, l
             starts, ends = [a for _, a, _ in block], [b for _, _, b in block]
             for a, b in units(len(words)):
                 if lines[a] != lines[b - 1]:
-                    group.append(words[a:b])
-                    where.append((owner, starts, ends, lines[a:b]))
+                    put(words[a:b], (owner, starts, ends, lines[a:b]))
 
     for owner, text in enumerate(texts):
         start, block = 0, []
@@ -273,20 +334,18 @@ def scan(texts: list[str], model: Classifier, ids: WordIds) -> list[tuple[int, l
             if words:
                 out[owner][0] += 1
                 for a, b in units(len(words)):
-                    group.append(words[a:b])
-                    where.append((owner, start, start + len(line), None))
+                    put(words[a:b], (owner, start, start + len(line), None))
                 block.append((words, start, start + len(line)))
             else:
                 across(owner, block)
                 block = []
             start += len(line) + 1
         across(owner, block)
-        if len(group) >= 4_096:
-            flush()
     flush()
     for (_, found), spans in zip(out, wrapped):
         whole = _joined(spans)
-        found[:] = [one for one in found if one[3] or not any(a <= one[0] and one[1] <= b and f == one[2] for a, b, f in whole)]
+        told = {(a, b) for a, b, _, sure in found if sure} | {(a, b) for a, b, _ in whole}
+        found[:] = [one for one in found if one[3] or not any(a <= one[0] and one[1] <= b for a, b in told)]
         found += [(a, b, family, True) for a, b, family in whole]
     # windows of one line that say the same are one finding
     return [(n, sorted({(a, b, family): max(c for x, y, f, c in found if (x, y, f) == (a, b, family))
