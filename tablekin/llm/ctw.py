@@ -547,7 +547,7 @@ def frequency_floor(counts: DataFrame, bound: int) -> int | None:
     return floor
 
 
-SCORED = (f"{KEY} long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
+SCORED = (f"{KEY} long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, score double, "
           "rare array<binary>, times array<int>, runs array<long>, run_times array<int>")
 
 
@@ -573,13 +573,14 @@ def _scored(frequent, frequent_runs):
             score, owner, runs, run_times = table.scores(texts)
             run_edges = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(KEY), batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()),
+                [batch.column(KEY), batch.column("doc_id"), batch.column("held_out"),
+                 pa.array(list(map(len, texts)), pa.int64()), pa.array(n_tokens, pa.int64()),
                  pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score),
                  pa.ListArray.from_arrays(edges, pa.array(rare, pa.binary())),
                  pa.ListArray.from_arrays(edges, pa.array(times, pa.int32())),
                  pa.ListArray.from_arrays(run_edges, pa.array(runs)),
                  pa.ListArray.from_arrays(run_edges, pa.array(run_times.astype(np.int32)))],
-                [KEY, "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "runs", "run_times"])
+                [KEY, "doc_id", "held_out", "n_bytes", "n_tokens", "known", "base", "score", "rare", "times", "runs", "run_times"])
 
     return run
 
@@ -591,7 +592,8 @@ def fit(training: DataFrame) -> Model:
 
 
 def report(docs: DataFrame, bound: int = FREQUENT_TOKENS, run_bound: int = FREQUENT_RUNS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document, and bits_per_byte:
+    the model's code length by the bytes of the text, null for empty ones."""
     context = docs.sparkSession.sparkContext
     rows = keyed(docs, "text").withColumn("held_out", id_remainder(F.col("doc_id"), MODULUS) == HELD_OUT)
     training = rows.filter(~F.col("held_out"))
@@ -618,10 +620,11 @@ def report(docs: DataFrame, bound: int = FREQUENT_TOKENS, run_bound: int = FREQU
     other_runs = run_values(runs if run_floor is None else runs.filter(F.col("level") < run_floor), model)
     rare_runs = scored.select(KEY, F.inline(F.arrays_zip("runs", "run_times"))).withColumnRenamed("runs", "code").join(
         other_runs, "code").groupBy(KEY).agg(F.sum(F.col("run_times") * F.col("value").cast("double")).alias("rare_score"))
+    score = F.col("score") + F.coalesce("rare_score", F.lit(0.0))
     return scored.join(rare, KEY, "left").join(rare_runs, KEY, "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + F.lit(math.log10(ends + 1))
          - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))
+        score.alias("score"), F.when(F.col("n_bytes") > 0, -score * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))

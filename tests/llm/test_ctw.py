@@ -132,4 +132,6 @@ def test_no_training_and_empty(spark):
     row = ctw.report(frame).first()
     assert (row["train_tokens"], row["base_score"], row["n_known"]) == (0, 0.0, 0)
     assert row["score"] == pytest.approx(-3 * math.log10(256), abs=1e-4)
+    assert row["bits_per_byte"] == pytest.approx(-row["score"] * math.log2(10) / 2)
+    assert ctw.report(spark.createDataFrame([(held, None)], "doc_id long, text string")).first()["bits_per_byte"] is None
     assert ctw.report(frame.filter("doc_id < 0")).collect() == []
