@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.functions.frames import join_small
+from tablekin.functions.frames import cut, join_small
+from tablekin.functions.key_filter import only_known
 from tablekin.functions.text import word_tokens
 from tablekin.functions.values import as_double, as_long, number_text
 from tablekin.operators.statistics import unit_interval_stats
@@ -11,6 +12,7 @@ from tablekin.schema import COLUMN, DATA_TYPES, QUERY, TABLE
 
 PAIR = ["query_table", "cand_table"]
 TYPE_BITS = {name: 1 << i for i, name in enumerate(DATA_TYPES)}
+LIST_TABLES = 64  # tables with a value, up to which it is kept as a list of them
 BINS = [f"{low}-{low + 10}" for low in range(0, 100, 10)]
 
 
@@ -153,19 +155,59 @@ def _counts(types: Column, prefix: str) -> list[Column]:
         for name, bit in TYPE_BITS.items()]]
 
 
-def value_counts(resolved: DataFrame, value_sets: DataFrame, n_pairs: int) -> DataFrame:
+def _shared_values(resolved: DataFrame, value_sets: DataFrame, n_pairs: int,
+                   list_tables: int) -> DataFrame:
+    """A row for each value that both tables of a pair have: ``PAIR, types`` found on both sides.
+
+    Candidates first lose the values that no query has, by a Bloom filter. Values of at most
+    ``list_tables`` tables then meet as inverted lists: each value once with the candidates
+    that hold it, each query's value once beside them, and only pairs asked for go on. Commoner
+    values meet by candidate and value, keys that no row repeats more often than the candidate
+    has queries. So no value gathers more than a short list in one place.
+    """
+    of_query = join_small(
+        value_sets.filter(F.col("side") == QUERY).select(
+            F.col("table_name").alias("query_table"), "value_key", F.col("types").alias("_types")),
+        resolved.select("query_table").distinct(), ["query_table"], n_pairs,
+        spread=["value_key"], how="left_semi")
+    of_cand = join_small(
+        value_sets.select(F.col("side").alias("location"),
+                          F.col("table_name").alias("cand_table"), "value_key", "types"),
+        resolved.select("location", "cand_table").distinct(), ["location", "cand_table"], n_pairs,
+        spread=["value_key"], how="left_semi")
+    of_cand = cut(only_known(of_cand, "value_key", of_query, of_query.count()))
+
+    tables = of_query.select("value_key").unionByName(of_cand.select("value_key"))
+    common = cut(tables.groupBy("value_key").agg(F.count("*").alias("_n")).filter(
+        F.col("_n") > list_tables).select("value_key"))
+    n_common = common.count()
+
+    def part(sets: DataFrame, how: str, spread: str) -> DataFrame:
+        return join_small(sets, common, ["value_key"], n_common, spread=[spread], how=how)
+
+    held = part(of_cand, "left_anti", "cand_table").groupBy("value_key").agg(
+        F.collect_list(F.struct("cand_table", "types")).alias("_held"))
+    listed = part(of_query, "left_anti", "query_table").join(held, "value_key").select(
+        "query_table", "value_key", "_types", F.inline("_held"))
+    listed = join_small(listed, resolved.select(*PAIR), PAIR, n_pairs, spread=["value_key"],
+                        how="left_semi")
+
+    wanted = join_small(part(of_query, "left_semi", "query_table"), resolved, ["query_table"],
+                        n_pairs, spread=["value_key"])
+    met = wanted.join(part(of_cand, "left_semi", "cand_table"),
+                      ["location", "cand_table", "value_key"])
+    both = [*PAIR, F.col("types").bitwiseAND(F.col("_types")).alias("types")]
+    return listed.select(*both).unionByName(met.select(*both))
+
+
+def value_counts(resolved: DataFrame, value_sets: DataFrame, n_pairs: int,
+                 list_tables: int = LIST_TABLES) -> DataFrame:
     """One row per pair: values of the query, of the candidate and of both, by type and at all.
 
-    The pairs meet the query's values first; the result meets the candidate's by candidate
-    and value, keys that no row repeats more often than the candidate has queries.
+    ``list_tables`` decides which way values meet, not the result.
     """
-    of_query = value_sets.filter(F.col("side") == QUERY).select(
-        F.col("table_name").alias("query_table"), "value_key", F.col("types").alias("_types"))
-    of_cand = value_sets.select(F.col("side").alias("location"),
-                                F.col("table_name").alias("cand_table"), "value_key", "types")
-    wanted = join_small(of_query, resolved, ["query_table"], n_pairs, spread=["value_key"])
-    common = wanted.join(of_cand, ["location", "cand_table", "value_key"]).groupBy(*PAIR).agg(
-        *_counts(F.col("types").bitwiseAND(F.col("_types")), "common"))
+    common = _shared_values(resolved, value_sets, n_pairs, list_tables).groupBy(*PAIR).agg(
+        *_counts(F.col("types"), "common"))
     sizes = value_sets.groupBy(*TABLE).agg(*_counts(F.col("types"), "n"))
     names = [c for c in sizes.columns if c not in TABLE]
     query_sizes = sizes.filter(F.col("side") == QUERY).select(
@@ -243,26 +285,36 @@ def overlap_histogram_by_type(overlaps: DataFrame) -> DataFrame:
     )
 
 
-def overlap_stats(overlaps: DataFrame, keys: list[str]) -> DataFrame:
-    return unit_interval_stats(overlaps, "overlap_coefficient", keys)
-
-
-def overlap_by_query(gt: DataFrame, columns: DataFrame, values: DataFrame,
-                     by_type: DataFrame) -> DataFrame:
-    """Statistics per query: ``measure`` columns, values, or values of one type.
-
-    Queries without an analysed pair are left out.
-    """
+def coefficients(columns: DataFrame, values: DataFrame, by_type: DataFrame) -> DataFrame:
+    """``query_table, measure, overlap_coefficient``: columns, values, or values of one type."""
     kept = ["query_table", "measure", "overlap_coefficient"]
-    long = (
+    return (
         columns.withColumn("measure", F.lit("columns")).select(*kept)
         .unionByName(values.withColumn("measure", F.lit("values")).select(*kept))
         .unionByName(by_type.withColumn(
             "measure", F.concat(F.lit("values:"), "data_type")).select(*kept))
     )
+
+
+def grouped_stats(long: DataFrame) -> DataFrame:
+    """Statistics by measure and by query and measure, from one expansion and one aggregation.
+
+    ``grouping_id`` is 0 for those of a query, else 2.
+    """
+    return unit_interval_stats(long, "overlap_coefficient", ["query_table", "measure"],
+                               [["query_table", "measure"], ["measure"]])
+
+
+def overlap_stats(grouped: DataFrame) -> DataFrame:
+    return grouped.filter(F.col("grouping_id") == 2).drop("grouping_id", "query_table")
+
+
+def overlap_by_query(gt: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Statistics per query and measure. Queries without an analysed pair are left out."""
     counts = gt.distinct().groupBy("query_table").agg(
         F.count("cand_table").alias("total_candidates"))
-    return overlap_stats(long, ["query_table", "measure"]).join(counts, "query_table")
+    return grouped.filter(F.col("grouping_id") == 0).drop("grouping_id").join(
+        counts, "query_table")
 
 
 def overlap_summary(gt: DataFrame, resolved: DataFrame,

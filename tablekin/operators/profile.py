@@ -59,13 +59,15 @@ def profile_column_types(types: DataFrame) -> DataFrame:
 
 
 def profile_unique_columns(columns: DataFrame) -> DataFrame:
-    """Distinct column names per side and, as side ``combined``, over both."""
-    names = columns.select("side", "col_name").distinct()
-    per_side = names.groupBy("side").agg(F.count("*").alias("unique_columns"))
-    combined = names.select("col_name").distinct().agg(
-        F.count("*").alias("unique_columns")).select(F.lit("combined").alias("side"),
-                                                     "unique_columns")
-    return per_side.unionByName(combined)
+    """Distinct column names per side and, as side ``combined``, over both, in one pass.
+
+    Without columns there are no rows.
+    """
+    counted = columns.select("side", "col_name").groupingSets([["side"], []], "side").agg(
+        F.count_distinct("col_name").alias("unique_columns"), F.grouping("side").alias("_all"))
+    return counted.select(
+        F.when(F.col("_all") == 1, "combined").otherwise(F.col("side")).alias("side"),
+        "unique_columns")
 
 
 def profile_combined(columns: DataFrame) -> DataFrame:

@@ -7,16 +7,25 @@ BUCKETS = 1000
 QUANTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75, "p10": 0.1, "p90": 0.9}
 
 
-def unit_interval_stats(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
+def unit_interval_stats(values: DataFrame, value: str, keys: list[str],
+                        sets: list[list[str]] | None = None) -> DataFrame:
     """count, mean, median, std, min, max, q1, q3, iqr, p10 and p90 per group.
 
+    Groups are those of all ``keys``, or with ``sets`` those of several choices of them in one
+    pass; keys that a choice leaves out are null then, and ``grouping_id`` tells choices apart
+    (a bit for each key left out, that of the last key is 1).
+
     Equal values are counted first, so a value that fills a third of the rows is one row.
     The positions of the others come from counts per thousandth of [0, 1]: one window runs
     over the bucket counts of a group, another inside each bucket. Quantiles are linear
     interpolations, the deviation is that of the population.
     """
-    counted = values.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    several = [keys] if sets is None else sets
+    counted = values.select(*keys, F.col(value).alias("v")).groupingSets(
+        [[*chosen, "v"] for chosen in several], *keys, "v").agg(
+        F.count("*").alias("n"), F.shiftright(F.grouping_id(), 1).alias("grouping_id"))
     counted = counted.withColumn("_bucket", F.floor(F.col("v") * BUCKETS))
+    wanted, keys = keys, [*keys, "grouping_id"]
     group = [F.col(key) for key in keys]
     buckets = counted.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in_bucket"))
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
@@ -24,12 +33,14 @@ def unit_interval_stats(values: DataFrame, value: str, keys: list[str]) -> DataF
     everything = Window.partitionBy(*group)
     # at most BUCKETS + 1 rows per group
     offsets = buckets.select(
-        *keys, "_bucket",
+        *[F.col(key).alias(f"_of_{key}") for key in [*keys, "_bucket"]],
         (F.sum("_in_bucket").over(earlier) - F.col("_in_bucket")).alias("_before"),
         F.sum("_in_bucket").over(everything).alias("_total"))
     inside = Window.partitionBy(*group, "_bucket").orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    placed = counted.join(offsets, [*keys, "_bucket"]).withColumn(
+    # keys of a larger group are null
+    same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in [*keys, "_bucket"]]
+    placed = counted.join(offsets, same).withColumn(
         "_end", F.col("_before") + F.sum("n").over(inside))
     last = F.col("_total") - 1
 
@@ -54,7 +65,7 @@ def unit_interval_stats(values: DataFrame, value: str, keys: list[str]) -> DataF
         stats = stats.withColumn(name, low + (high - low) * (at - F.floor(at)))
     variance = F.col("_squares") / n - F.col("mean") * F.col("mean")
     return stats.select(
-        *keys, "count", "mean", "median",
+        *(wanted if sets is None else keys), "count", "mean", "median",
         F.when(F.col("min") == F.col("max"), 0.0)
         .otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std"),
         "min", "max", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "p10", "p90")

@@ -82,19 +82,17 @@ class OverlapReport:
     def histograms_by_type(self) -> DataFrame:
         return overlap.overlap_histogram_by_type(self.values_by_type)
 
+    @cached_property
+    def _grouped_stats(self) -> DataFrame:
+        return cut(overlap.grouped_stats(overlap.coefficients(
+            self.columns, self.values, self.values_by_type)))
+
     def stats(self) -> DataFrame:
         """Statistics by ``measure``: columns, values, and values:<type>."""
-        kept = ["measure", "overlap_coefficient"]
-        long = (
-            self.columns.withColumn("measure", F.lit("columns")).select(*kept)
-            .unionByName(self.values.withColumn("measure", F.lit("values")).select(*kept))
-            .unionByName(self.values_by_type.withColumn(
-                "measure", F.concat(F.lit("values:"), "data_type")).select(*kept))
-        )
-        return overlap.overlap_stats(long, ["measure"])
+        return overlap.overlap_stats(self._grouped_stats)
 
     def by_query(self) -> DataFrame:
-        return overlap.overlap_by_query(self.gt, self.columns, self.values, self.values_by_type)
+        return overlap.overlap_by_query(self.gt, self._grouped_stats)
 
     def summary(self) -> DataFrame:
         return overlap.overlap_summary(self.gt, self.resolved, self.query_list)

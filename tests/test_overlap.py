@@ -103,3 +103,28 @@ def test_written_report(report, tmp_path, spark):
     summary = spark.read.json(f"{tmp_path}/b_overlap_summary").first()
     assert summary["total_relationships"] == 2 and summary["benchmark_name"] == "b"
     assert spark.read.json(f"{tmp_path}/b_overlap_detailed").count() == 2
+
+
+def test_statistics_of_several_groupings(spark):
+    rng = np.random.default_rng(4)
+    data = [(f"q{rng.integers(5)}", f"m{rng.integers(2)}", float(rng.integers(0, 12) / 12)) for _ in range(400)]
+    frame = spark.createDataFrame([*data, (None, "m0", 0.5)], "q string, m string, v double")
+    got = unit_interval_stats(frame, "v", ["q", "m"], [["q", "m"], ["m"]]).collect()
+    assert len(got) == len({row[:2] for row in data}) + 1 + 2
+    for row in got:
+        # a missing key is a group of its own, not the group of all
+        here = [v for q, m, v in [*data, (None, "m0", 0.5)]
+                if m == row["m"] and (row["grouping_id"] == 2 or q == row["q"])]
+        assert row["count"] == len(here)
+        assert row["median"] == pytest.approx(np.median(here))
+        assert row["p90"] == pytest.approx(np.percentile(here, 90))
+
+
+def test_one_expansion(report):
+    from tablekin.operators import overlap
+    plan = overlap.grouped_stats(overlap.coefficients(report.columns, report.values, report.values_by_type))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" in text
+    per_query = {(r["query_table"], r["measure"]): r["count"] for r in report.by_query().collect()}
+    assert {r["measure"]: r["count"] for r in report.stats().collect()} == {
+        measure: n for (_, measure), n in per_query.items()}
