@@ -1,15 +1,16 @@
 r"""Secret scans: fixed patterns, and a linear-chain conditional random field for what they miss.
 
 Tokens are runs of word characters and single other signs. Each is tagged as secret begin, inside or
-outside from its shape and those of two neighbours on each side, key words among them,
+outside from its shape and those of two neighbours on each side (key words, and other words by a hash),
 features of the whole text, and the tag before; Viterbi finds the best tags of a text. Tokens that no
 tagging could gain by taking into a secret (their score for outside leads by more than any two
 transitions can make up for) are outside for sure; the text is decoded between them, which
 gives the same tags.
 
 The field is trained in numpy on the surroundings of pattern matches in a sample of the documents, on as
-many variants of them with other key words and random values, and on text without matches. Its spans are
-added where no pattern matched.
+many variants of them with secrets of other forms (``FORMS``), on text without matches, and on invented lines, every
+other one with harmless things that look alike. A span is drawn out to the whole value it stands in, so that no piece
+of one is left, and is added unless a pattern's match covers it; it may overlap one that covers a piece only.
 
 Base patterns per kind, leftmost and without overlap: assign (key word, sign, value of 6 or more
 characters), access (``AKIA...``, 20 or more), hex (24 or more digits). Spans are of whole
@@ -17,9 +18,12 @@ matches, in code points, end exclusive. Null and empty texts have no spans; repe
 by one; an empty table trains on fixed examples alone; other columns are ignored.
 """
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,7 @@ KEY_WORDS = ["password", "passwd", "pwd", "secret", "token", "api", "apikey", "a
              "access", "private", "client", "login", "pass", "authorization", "sid", "webhook", "signature", "http", "https", "www"]
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 SPAN = 2  # neighbours on each side
+WORDS = 512  # words up to a length are told apart by a hash of so many values
 
 SAMPLE_DOCUMENTS = 20_000  # documents that training looks at, at most
 SAMPLE_SNIPPETS = 4_000  # snippets it learns from, at most
@@ -79,7 +84,8 @@ def shape(token: str) -> tuple:
     if token.isalpha():
         case = "lower" if token.islower() else "title" if token[1:].islower() or len(token) == 1 else "upper" if token.isupper() else "mixed"
         plain = "ascii" if token.isascii() else "wide"
-        return ("word", case, plain, size, known, min(4, len(set(token)) * 4 // len(token)) if size > 4 else 0)
+        said = zlib.crc32(word.encode()) % WORDS if len(token) <= 14 and plain == "ascii" else WORDS
+        return ("word", case, plain, size, known, min(4, len(set(token)) * 4 // len(token)) if size > 4 else 0, said)
     if token.isdigit():
         return ("digits", size)
     digits = sum(c.isdigit() for c in token)
@@ -90,8 +96,8 @@ def shape(token: str) -> tuple:
 
 
 def features(seen: tuple) -> list[str]:
-    """The features of a shape: the whole and its parts."""
-    return [repr(seen), *[f"{seen[0]}.{i}={part}" for i, part in enumerate(seen)], f"{seen[0]}~{seen[1]}~{seen[2:4]}"]
+    """The features of a shape: the whole (but for the word itself) and its parts."""
+    return [repr(seen[:6] if seen[0] == "word" else seen), *[f"{seen[0]}.{i}={part}" for i, part in enumerate(seen)], f"{seen[0]}~{seen[1]}~{seen[2:4]}"]
 
 
 def file_features(text: str) -> tuple[str, ...]:
@@ -105,19 +111,95 @@ def file_features(text: str) -> tuple[str, ...]:
 
 ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
              "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"]
-NAMES = ["password", "PASSWORD", "secret", "token", "api_key", "pwd", "auth_token", "client_secret", "access_key", "Bearer", "private key"]
+NAMES = ["password", "PASSWORD", "secret", "token", "api_key", "pwd", "auth_token", "client_secret", "access_key", "Bearer", "private key",
+         "dbpass", "DB_PASSWORD", "SECRET_ACCESS_KEY", "passphrase", "credential", "signing_key", "license_code", "key"]
 SIGNS = [" = \"{}\"", "={}", ": {}", ": '{}'", " {}", " := {}", "=\"{}\""]
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SCHEMES = ["https", "postgres", "mysql", "amqp", "redis", "ftp", "mongodb"]
 
 
-def _invented(draw: random.Random) -> tuple[str, int, int]:
-    """An assignment with a random value; start and end of the value."""
-    alphabet = draw.choice(ALPHABETS)
-    value = "".join(draw.choice(alphabet) for _ in range(draw.choice([16, 20, 24, 32, 40, 48, 64])))
+def _drawn(draw: random.Random, alphabet: str, sizes) -> str:
+    return "".join(draw.choice(alphabet) for _ in range(draw.choice(sizes)))
+
+
+def _assigned(draw: random.Random, value: str) -> tuple[str, int, int]:
     before, after = draw.choice(SIGNS).split("{}")
     head = draw.choice(NAMES) + before
     return head + value + after, len(head), len(head) + len(value)
 
 
+def _plain_value(draw: random.Random):
+    return _assigned(draw, _drawn(draw, draw.choice(ALPHABETS), [16, 20, 24, 32, 40, 48, 64]))
+
+
+def _signed_value(draw: random.Random):
+    """A value with signs of base64 and its kin among letters and digits."""
+    extra = draw.choice(["+/", "-_", "-.", "+/.~"])
+    value = _drawn(draw, ALPHABETS[2], [6, 9]) + _drawn(draw, ALPHABETS[2] + extra, [18, 28, 38, 52])
+    return _assigned(draw, value + draw.choice(["", "", "=", "=="]))
+
+
+def _prefixed_value(draw: random.Random):
+    """A value that says by a prefix what it is, with a key word before it or none."""
+    joint = draw.choice("-_")
+    parts = [_drawn(draw, LETTERS, [2, 3, 4, 5]) for _ in range(draw.choice([1, 1, 2]))]
+    if draw.random() < 0.3:
+        parts.append(_drawn(draw, "0123456789", [8, 10, 12]))
+    value = joint.join([*parts, _drawn(draw, ALPHABETS[2], [24, 32, 36, 40, 48])])
+    return _assigned(draw, value) if draw.random() < 0.4 else (value, 0, len(value))
+
+
+def _dotted_value(draw: random.Random):
+    """Three long parts with dots between, the first two beginning alike."""
+    parts = ["ey" + _drawn(draw, ALPHABETS[2], [18, 34, 70]) for _ in range(2)]
+    value = ".".join([*parts, _drawn(draw, ALPHABETS[2] + "-_", [32, 43])])
+    return _assigned(draw, value) if draw.random() < 0.7 else (value, 0, len(value))
+
+
+def _password_in_url(draw: random.Random):
+    head = f"{draw.choice(SCHEMES)}://{_drawn(draw, LETTERS, [4, 5, 7])}:"
+    value = _drawn(draw, ALPHABETS[2], [8, 10, 12, 16, 20])
+    host = f"@{_drawn(draw, LETTERS, [4, 6, 8])}.{_drawn(draw, LETTERS, [3, 5])}"
+    return head + value + host + draw.choice(["", ":5432", "/main"]), len(head), len(head) + len(value)
+
+
+def _short_value(draw: random.Random):
+    """A short password, letters and at least one digit."""
+    value = _drawn(draw, ALPHABETS[2], [6, 7, 8, 9, 11]) + draw.choice("0123456789") + _drawn(draw, ALPHABETS[2], [1, 2])
+    head = draw.choice(["pwd", "pass", "password", "passwd", "PWD", "dbpass", "login"]) + draw.choice(["=", ": ", " = ", " := ", ":"])
+    return head + value, len(head), len(head) + len(value)
+
+
+FORMS = {"plain": _plain_value, "signed": _signed_value, "prefixed": _prefixed_value, "dotted": _dotted_value, "url": _password_in_url,
+         "short": _short_value}
+
+
+def _invented(draw: random.Random) -> tuple[str, int, int]:
+    """A text with a random secret of some form; start and end of the secret."""
+    return FORMS[draw.choice(sorted(FORMS))](draw)
+
+
+def _harmless(draw: random.Random) -> str:
+    """What looks like a secret to a reader of shapes and is none."""
+    word = lambda: _drawn(draw, LETTERS, [3, 4, 5, 6, 8, 11])
+    number = lambda *sizes: _drawn(draw, "0123456789", sizes)
+    hexed = lambda n: _drawn(draw, ALPHABETS[draw.choice([0, 1])], [n])
+    return draw.choice([
+        lambda: "-".join(hexed(n) for n in (8, 4, 4, 4, 12)),
+        lambda: "/".join(["", *[word() for _ in range(draw.randint(2, 5))]]) + draw.choice([".py", ".txt", "", ".tar.gz"]),
+        lambda: f"{draw.choice(SCHEMES)}://{word()}.{word()}.com/{word()}/{word()}-{number(2, 4)}?{word()}={number(1, 5)}",
+        lambda: f"{draw.choice(SCHEMES)}://{word()}.{word()}:{number(4)}/{word()}",
+        lambda: f"{word()}.{word()}{number(2)}@{word()}.com",
+        lambda: "_".join(word() for _ in range(draw.randint(2, 4))) + draw.choice(["", f"_{number(1, 4)}", "()"]),
+        lambda: "".join(word().title() for _ in range(draw.randint(2, 5))),
+        lambda: "-".join(word() for _ in range(draw.randint(2, 5))),
+        lambda: f"{word()}-{number(1)}.{number(1, 2)}.{number(1)}", lambda: f"{number(4)}-{number(2)}-{number(2)}T{number(2)}:{number(2)}:{number(2)}Z",
+        lambda: f"{draw.choice(NAMES)} {word()} {word()}", lambda: f"{word()} = {word()}", lambda: f"{word()}: {word()} {word()}",
+        lambda: f"{word()}={number(1, 3, 8)}", lambda: f"{draw.choice(['id', 'sha', 'commit', 'checksum', 'build'])} {hexed(draw.choice([7, 8, 12, 16, 40]))}",
+        lambda: f"{word()}{number(1, 2, 4)}{word()}", lambda: f"the {draw.choice(NAMES)} of the {word()} is kept", lambda: f"+{number(2)} {number(3)} {number(4)} {number(3)}",
+    ])()
+
+
 def _value(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
     if kind == 0:
         m = ASSIGN.match(text, start, end)
@@ -151,16 +233,24 @@ def _snippets(batches):
             pa.schema([("at", pa.int64()), ("text", pa.string()), ("marks", pa.list_(pa.int32())), ("file", pa.list_(pa.string()))]))
 
 
+FIXED = 1_200
+
+
 def _fixed_examples() -> list[tuple]:
-    """Examples that training has even without documents."""
+    """Examples that training has even without documents: secrets, and in every other one harmless things only."""
     draw = random.Random(1)
-    words = ["the", "value", "of", "this", "setting", "is", "kept", "in", "a", "file", "for", "users", "and", "named", "Report", "2024"]
+    words = ["the", "value", "of", "this", "setting", "is", "kept", "in", "a", "file", "for", "users", "and", "named", "Report", "2024", "use", "set",
+             "with", "see", "export", "curl", "from", "at", "Authorization", ":", "-H", "config", "then", "it", "was", "by", "them", "(", ")", ",", ";"]
+
+    def some() -> str:
+        return " ".join(_harmless(draw) if draw.random() < 0.15 else draw.choice(words) for _ in range(draw.randint(1, 12)))
+
     out = []
-    for at in range(60):
-        head = " ".join(draw.choice(words) for _ in range(draw.randint(3, 12))) + " "
-        said, a, b = _invented(draw)
+    for at in range(FIXED):
+        head = some() + draw.choice([" ", " ", "\n", " \"", " '"])
+        said, a, b = _invented(draw) if at % 2 else (_harmless(draw), 0, 0)
+        text = head + said + draw.choice([" ", "\n", ". ", "\" ", "' "]) + some()
         marks = [len(head) + a, len(head) + b] if at % 2 else []
-        text = head + (said if at % 2 else "") + " " + " ".join(draw.choice(words) for _ in range(draw.randint(3, 12)))
         out.append((at, text, marks, list(file_features(text))))
     return out
 
@@ -355,10 +445,53 @@ def field_spans(text: str, field: Field, shapes: Shapes) -> list[tuple[int, int]
     return [tuple(span) for span in spans]
 
 
+INSIDE_VALUE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.~-")
+PADDING = "="
+
+
+def whole_values(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans drawn out to the whole run of characters of a value they stand in, so that no piece of one is left.
+
+    A run ends at white space, quotes, brackets, ``:`` or ``=``, but takes in ``=`` that pads its end.
+    Where it begins like a path, only what follows the last ``/`` before the span is taken. Spans that meet become one.
+    """
+    out, done = [], 0
+    for start, end in spans:
+        if start < done:
+            if end <= done:
+                continue
+            start = done
+        a, b = start, max(end, start)
+        while a > done and text[a - 1] in INSIDE_VALUE:
+            a -= 1
+        if text[a] == "/":
+            a = text.rfind("/", a, start) + 1 or start
+        while b < len(text) and text[b] in INSIDE_VALUE:
+            b += 1
+        while b > end and text[b - 1] in ".-/":  # ends of sentences
+            b -= 1
+        for _ in range(2):
+            b += text[b:b + 1] == PADDING
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+        done = out[-1][1]
+    return out
+
+
 def all_spans(text: str, field: Field, shapes: Shapes) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of base matches and of field spans that touch none of them."""
+    """(start, kind, end) of base matches and of the field's whole values that no base match covers."""
     base = base_spans(text)
-    added = [(a, 3, b) for a, b in field_spans(text, field, shapes) if not any(s[0] < b and a < s[2] for s in base)]
+    if not base:
+        return [(a, 3, b) for a, b in whole_values(text, field_spans(text, field, shapes))]
+    reach, starts = list(itertools.accumulate((end for _, _, end in base), max)), [start for start, _, _ in base]
+    added = []
+    for a, b in whole_values(text, field_spans(text, field, shapes)):
+        at = bisect.bisect_right(starts, a)
+        # matches that begin at or before the span; what they leave of it is still a secret
+        if not at or reach[at - 1] < b:
+            added.append((a, 3, b))
     return sorted(base + added)
 
 
@@ -408,9 +541,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         pieces, at = [], 0
         for start, kind, end in all_spans(text, field, shapes) if text else []:
             start, end = _value(text, start, kind, end)
-            if end > at:
-                pieces += [text[at:max(start, at)], mark]
-                at = end
+            if start >= at:
+                pieces += [text[at:start], mark]
+            at = max(at, end)
         return "".join([*pieces, text[at:]]) if pieces else text
 
     def run(batches):
