@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tablekin.functions.frames import cut
 from tablekin.operators.metrics import metrics_at_k, metrics_per_query, ranking_detail
 from tablekin.operators.prep import keep_queries
+from tablekin.operators.sampling import sample_front
 from tablekin.operators.search import sample_queries, valid_queries
 from tablekin.plans.ranking import (
     dense_vectors,
@@ -26,6 +27,7 @@ from tablekin.plans.ranking import (
     rank_dense,
     rank_sparse,
     sparse_vectors,
+    with_defaults,
 )
 from tablekin.plans.stored_vectors import refreshed_vectors
 from tablekin.schema import QUERY
@@ -147,15 +149,18 @@ def grid_metrics(cells: DataFrame, columns_meta: DataFrame, gt: DataFrame, jobs:
                  n_queries: int | None = None) -> DataFrame:
     """Mean metrics of all jobs, tagged with their ``params``; equal vectors are built once.
 
-    Only query tables are asked, or ``n_queries`` of those that have vectors.
+    Only query tables are asked, or ``n_queries`` of those that have vectors. Cells that none of the
+    sparse methods can have in its sample are left out once for all of them.
     """
     gt = asked(gt, columns_meta)
+    sizes = [with_defaults(job.method, job.embedding_params)["sample_size"] for job in jobs if job.method != "encoder"]
+    sampled = cut(sample_front(cells, max(sizes))) if sizes else cells
     built: dict[str, DataFrame] = {}
     parts = []
     for job in jobs:
         key = job.method + param_hash(full_params(job.method, job.embedding_params, encoder))
         if key not in built:
-            built[key] = cut(_vectors(cells, columns_meta, job, encoder))
+            built[key] = cut(_vectors(cells if job.method == "encoder" else sampled, columns_meta, job, encoder))
         wanted = _sampled(gt, built[key], n_queries)
         ranked = _ranking(built[key], wanted, job, k, exclude_self)
         tags = [F.lit(text) for pair in job.params().items() for text in pair]
