@@ -87,10 +87,12 @@ def read_parquet_lake(spark: SparkSession, tables: dict[str, str],
         values = [F.struct(F.lit(pos).alias("col_pos"), F.lit(field.name).alias("col_name"),
                            _as_text(field.name, field.dataType).alias("value"))
                   for pos, field in enumerate(schema.fields)]
-        rows = _files(spark, schema, files, members, tables).select(
-            _plain_path(F.col("_metadata.file_path")).alias("file"),
-            F.col("_metadata.row_index").alias("row_index"), F.array(*values).alias("values"))
-        owner = spark.createDataFrame(owners, "file string, table_name string, number long")
+        found = _files(spark, schema, files, members, tables)
+        rows = found.select(F.col("_metadata.file_path").alias("file"),
+                            F.col("_metadata.row_index").alias("row_index"), F.array(*values).alias("values"))
+        # addresses are made plain once for each file, not for each row
+        owner = found.select(F.col("_metadata.file_path").alias("file")).distinct().withColumn("plain", _plain_path(F.col("file"))).join(
+            spark.createDataFrame(owners, "plain string, table_name string, number long"), "plain").drop("plain")
         named = join_small(rows, owner, ["file"], len(owners), spread=["row_index"])
         cells.append(named.select(
             F.lit(side).alias("side"), "table_name",
