@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from registered import spark_queries
 from tablekin.functions.frames import first_per_group
-from tablekin.operators import sampling
+from tablekin.operators import pruned, sampling
 from tablekin.schema import COLUMN
 from tests.helpers import rows
 
@@ -60,3 +60,28 @@ def test_distinct_samples_keep_enough_values(cells):
     texts = sorted((f"v{r}" for r in range(3000)), key=lambda v: hashlib.md5(v.encode()).hexdigest())[:20]
     assert rows(found, "t", "col_pos", "rn", "value") == sorted(
         [*[("t", 0, i + 1, v) for i, v in enumerate(texts)], *[("", 1, i + 1, v) for i, v in enumerate(texts)], ("u", 0, 1, "x")])
+
+
+def test_parts_of_candidates_do_not_grow_with_them(spark):
+    """Each block of queries runs a task a part, whose results all go to the driver."""
+    parts = []
+    for n in (5_000, 100_000):
+        vectors = spark.range(n).select(F.col("id").cast("string").alias("cand_table"), F.array(
+            *[F.sin(F.col("id") * (i + 1)) for i in range(4)]).alias("vec"))
+        kept = pruned.laid_out(vectors, ["vec"], n, n).rows
+        assert kept.count() == n
+        parts.append(kept.rdd.getNumPartitions())
+    assert parts[0] == parts[1] <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_row_ids_are_counted_by_words(spark, monkeypatch):
+    """Repeated ids count once, whatever their distance and in each column."""
+    cells = spark.createDataFrame([("lake", "t", c, f"c{c}", r, None if r == 64 else "1.5") for c in range(2)
+                                   for r in (0, 63, 63, 64, 1 << 41, (1 << 41) + 63)], CELLS)
+    meta = spark.createDataFrame([("lake", "t", 0, "c0", "float"), ("lake", "t", 1, "c1", "text")],
+                                 "side string, table_name string, col_pos int, col_name string, source_type string")
+    monkeypatch.setattr(spark_queries, "_parquet_lake", lambda w: (cells, meta))
+    got = spark_queries.parquet_lake_cells(None)
+    assert rows(got, *got.columns[1:]) == [(0, "c0", "float", 6, 5, 5, 1, 7.5, None, None), (1, "c1", "text", 6, 5, 5, 1, None, "1.5", "1.5")]
+    # equal values meet before they are dealt, without a row for each kind of count
+    assert "Expand" not in got._jdf.queryExecution().toString()
