@@ -4,7 +4,7 @@ Spark counts the distinct words of all texts. The most frequent ones (all of the
 encoded once each, in Spark, and the word table is broadcast: every text is split again, its words
 are looked up and their ids joined in order of position. A word outside the bounded table is encoded where it
 stands, each word once per task as long as a bounded memory of them lasts. Decoding looks up the
-bytes of each id in the vocabulary, whose size the tokenizer file fixes.
+bytes of each id in the vocabulary, whose size the tokenizer file fixes. Whole texts come to Python in small batches.
 
 Results equal those of the tokenizers library with the same file, special tokens in a text
 included. Null texts are empty and have no ids; empty tables, repeated rows and other columns make
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import released, shipped, stage
+from tablekin.llm.common import give_back, released, shipped, small_batches, stage
 
 shipped(__name__)
 
@@ -103,6 +103,7 @@ def _tokenizer(model: str):
     tokenizer = Tokenizer.from_str(model)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    give_back()  # parsing the file takes more than what is kept of it
     return lambda word: np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -161,9 +162,10 @@ def word_counts(docs: DataFrame, model: str) -> DataFrame:
     return docs.select("text").mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def word_table(docs: DataFrame, model: str, bound: int = TABLE_WORDS) -> dict[str, bytes]:
-    """The ids of the most frequent words, at most ``bound``; words of one frequency class go together."""
-    counts = stage(word_counts(docs, model))
+def word_table(docs: DataFrame, model: str, bound: int = TABLE_WORDS) -> pa.Table:
+    """``word, ids`` of the most frequent words, at most ``bound``; words of one frequency class go together."""
+    with small_batches(docs.sparkSession):
+        counts = stage(word_counts(docs, model))
     level = F.floor(F.log2("n") * 32)
     classes = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
     total, least = 0, None
@@ -173,7 +175,7 @@ def word_table(docs: DataFrame, model: str, bound: int = TABLE_WORDS) -> dict[st
             break
         least = row["level"]
     if least is None:
-        return {}
+        return pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})
 
     def encode(batches):
         ids = _tokenizer(model)
@@ -181,7 +183,11 @@ def word_table(docs: DataFrame, model: str, bound: int = TABLE_WORDS) -> dict[st
             words = batch.column("word")
             yield pa.RecordBatch.from_arrays([words, pa.array(map(ids, words.to_pylist()), pa.binary())], ["word", "ids"])
 
-    table = counts.filter(level >= least).select("word").mapInArrow(released(encode), "word string, ids binary").toArrow()
+    return counts.filter(level >= least).select("word").mapInArrow(released(encode), "word string, ids binary").toArrow()
+
+
+def by_word(table: pa.Table) -> dict[str, bytes]:
+    """The word table as a task looks words up; a task's own, so that it goes with the task."""
     return dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist()))
 
 
@@ -200,7 +206,7 @@ def encode(docs: DataFrame, path: str, bound: int = TABLE_WORDS) -> DataFrame:
         name += "_"
 
     def run(batches):
-        ids = encoder(model, table.value, special)
+        ids = encoder(model, by_word(table.value), special)
         for batch in batches:
             made = [np.frombuffer(ids(text.as_py() or ""), "<i4") for text in batch.column("text")]
             offsets = np.append(0, np.cumsum([len(one) for one in made])).astype(np.int32)
@@ -226,13 +232,16 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def report(docs: DataFrame, path: str, bound: int = TABLE_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded in one pass."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, encoded and decoded in one pass.
+
+    The rows are small and kept as a stage, so that no reader's settings decide how much text a task holds.
+    """
     model = read_model(path)
     table = docs.sparkSession.sparkContext.broadcast(word_table(docs, model, bound))
     special, pieces = special_tokens(model), pieces_of(model)
 
     def run(batches):
-        ids, text = encoder(model, table.value, special), decoder(pieces)
+        ids, text = encoder(model, by_word(table.value), special), decoder(pieces)
         for batch in batches:
             sizes, hashes, read = [], [], []
             for one in batch.column("text"):
@@ -244,5 +253,7 @@ def report(docs: DataFrame, path: str, bound: int = TABLE_WORDS) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(read, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    with small_batches(docs.sparkSession):
+        return stage(made)

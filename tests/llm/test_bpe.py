@@ -9,7 +9,7 @@ import pytest
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tablekin.llm import bpe
+from tablekin.llm import bpe, common
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -55,3 +55,24 @@ def test_settled_characters_split_alike():
         text = f"a{chr(code)}1{chr(code)} "
         if not unsettled.search(text):
             assert [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)] == words.findall(text), hex(code)
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    bound, setting = 1 << 16, spark.conf.get(common.BATCH_SETTING)
+    monkeypatch.setattr(common, "BATCH_BYTES", bound)
+
+    def watched(work):
+        def run(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 4 * bound
+                    yield batch
+
+            yield from work(small())
+
+        return common.released(run)
+
+    monkeypatch.setattr(bpe, "released", watched)
+    frame = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 100) as text")
+    assert {tuple(r)[1:] for r in bpe.report(frame, PATH).collect()} == {expected("some words " * 100)}
+    assert spark.conf.get(common.BATCH_SETTING) == setting
