@@ -30,6 +30,7 @@ shipped(__name__)
 TABLE_WORDS = 1 << 18  # words in the broadcast table, some 20 bytes each
 MEMORY_WORDS = 1 << 17  # other words a task remembers
 COUNTED_WORDS = 1 << 18  # distinct words a task counts before it passes them on
+SENT_WORDS = 1 << 15  # of them that are passed on at once
 # fixed value: how the byte-level tokenizer splits texts
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # characters of which all Unicode versions think alike; texts with others are split by the library
@@ -148,16 +149,16 @@ def word_counts(docs: DataFrame, model: str) -> DataFrame:
         words: Counter[str] = Counter()
 
         def counted():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+            return pa.Table.from_arrays(
+                [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"]).to_batches(SENT_WORDS)
 
         for batch in batches:
             for text in batch.column("text"):
                 words.update(split(text.as_py() or ""))
                 if len(words) > COUNTED_WORDS:
-                    yield counted()
+                    yield from counted()
                     words.clear()
-        yield counted()
+        yield from counted()
 
     return docs.select("text").mapInArrow(released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

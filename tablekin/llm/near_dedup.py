@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import KEY, keyed, keyed_whole, released, shipped, stage, without
+from tablekin.llm.common import KEY, keyed, keyed_whole, released, shipped, small_batches, stage, without
 from tablekin.llm.components import components
 
 shipped(__name__)
@@ -287,10 +287,12 @@ def find_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(rows: DataFrame) -> DataFrame:
     """Of keyed rows: _key, doc_id, class_id (doc_id of the first document of the class) and kept (is that document)."""
     texts = rows.select(KEY, "text")
-    sketched = stage(texts.mapInArrow(released(_sketched), f"{KEY} long, same binary, buckets array<long>"))
-    equal = sketched.filter("same is not null").groupBy("same").agg(F.min(KEY).alias("node"))
-    nodes = sketched.join(equal.select(F.col("node").alias(KEY)), KEY, "left_semi").select(F.col(KEY).alias("node"), "buckets")
-    roots = components(find_links(nodes, texts))
+    with small_batches(rows.sparkSession):  # all that passes texts or k-mers to Python is kept as stages
+        sketched = stage(texts.mapInArrow(released(_sketched), f"{KEY} long, same binary, buckets array<long>"))
+        equal = sketched.filter("same is not null").groupBy("same").agg(F.min(KEY).alias("node"))
+        nodes = sketched.join(equal.select(F.col("node").alias(KEY)), KEY, "left_semi").select(F.col(KEY).alias("node"), "buckets")
+        links = find_links(nodes, texts)
+    roots = components(links)
     first = roots.groupBy("root").agg(F.min("node").alias("first"))
     of_node = equal.join(roots.join(first, "root").select("node", "first"), "node", "left").select(
         "same", F.coalesce("first", "node").alias("first"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablekin.llm.common import ROW, by_value, opened, released, shipped
+from tablekin.llm.common import ROW, by_value, opened, released, shipped, small_batches, stage
 
 shipped(__name__)
 
@@ -500,7 +500,8 @@ def fit(docs: DataFrame) -> Field:
     n = docs.count()
     share = min(1.0, SAMPLE_DOCUMENTS / max(n, 1))
     picked = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    snippets = picked.distinct().mapInArrow(released(_snippets), SNIPPETS).orderBy("at", "text").limit(SAMPLE_SNIPPETS).toArrow()
+    with small_batches(docs.sparkSession):
+        snippets = picked.distinct().mapInArrow(released(_snippets), SNIPPETS).orderBy("at", "text").limit(SAMPLE_SNIPPETS).toArrow()
     columns = [snippets.column(name).to_pylist() for name in ("at", "text", "marks", "file")]
     return train(list(zip(*columns)) + _fixed_examples())
 
@@ -534,7 +535,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """All rows with their columns; found values are replaced in text, and n_chars (if any) follows."""
+    """All rows with their columns; found values are replaced in text, and n_chars (if any) follows.
+
+    The rows are kept as a stage, so that no reader's settings decide how much text a task holds.
+    """
     shared = by_value(docs.sparkSession, fit(docs))
 
     def clean(text: str | None, field: Field, shapes: Shapes) -> str | None:
@@ -556,12 +560,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(made, pa.string())], [ROW, "text"])
 
     # the text goes to Python once, the other columns beside it
-    others = [F.col(f"`{name}`") for name in docs.columns if name != "text"]
+    others = [F.col(f"`{field.name}`") for field in docs.schema if field.name != "text" and field.dataType != T.NullType()]
     rows = docs.select(F.struct(*others, F.lit(0).alias("_none")).alias(ROW), "text")
-    cleaned = rows.mapInArrow(released(run), rows.schema)
+    with small_batches(docs.sparkSession):
+        cleaned = stage(rows.mapInArrow(released(run), rows.schema))
     columns = []
     for field in docs.schema:
         column = F.col(f"{ROW}.`{field.name}`") if field.name != "text" else F.col("text")
+        if field.dataType == T.NullType():  # Parquet holds no such column
+            column = F.lit(None)
         if field.name == "n_chars":
             column = F.char_length(F.coalesce("text", F.lit(""))).cast(field.dataType)
         columns.append(column.alias(field.name))

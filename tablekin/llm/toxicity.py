@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablekin.llm.common import KEY, by_value, id_remainder, keyed_whole, opened, released, shipped, without
+from tablekin.llm.common import KEY, by_value, id_remainder, keyed_whole, opened, released, shipped, small_batches, without
 from tablekin.llm.near_dedup import words_of
 
 shipped(__name__)
@@ -395,6 +395,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) ->
     """The documents that are not taken for toxic, with all their columns."""
     network = fit(docs, labels, in_training(), bound)
     rows = keyed_whole(docs)
-    return without(rows, scored(rows, network).filter("score >= 0.5"))
+    with small_batches(docs.sparkSession):  # the keys to leave out are found here
+        return without(rows, scored(rows, network).filter("score >= 0.5"))
 
 
