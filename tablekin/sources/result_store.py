@@ -15,6 +15,7 @@ RUN_SCHEMA = """
     vector_path string
 """
 METRICS = "array<struct<cutoff: int, p: double, r: double, f1: double, map: double>>"
+JSON_SCHEMA = f"{RUN_SCHEMA.rstrip()}, run_id string, finished string, metrics {METRICS}, run_key string"
 
 
 class ResultStore:
@@ -62,7 +63,11 @@ class ResultStore:
                          f"exclude_self={record['exclude_self']}", record["run"]])
 
     def runs(self, spark: SparkSession) -> DataFrame:
-        return spark.read.format(self.fmt).load(f"{self.root}/runs").drop("run_key")
+        """All records; the columns do not depend on which of them have errors or which parameters."""
+        reader = spark.read.format(self.fmt)
+        if self.fmt == "json":  # null fields are not written, and maps would be read as structs
+            reader = reader.schema(JSON_SCHEMA)
+        return reader.load(f"{self.root}/runs").drop("run_key")
 
     def details(self, spark: SparkSession) -> DataFrame:
         return spark.read.format(self.fmt).load(f"{self.root}/details").drop("run_key")
